@@ -221,10 +221,9 @@ def _decoded(column: pa.ChunkedArray) -> list[np.ndarray]:
 def _open_group(percent: int):
     def run(table: pa.Table) -> pa.Table:
         cls = np.array(table.column("cls").to_pylist(), np.int64)
-        order = np.argsort(cls, kind="stable")
+        cls, order = np.unique(cls, return_index=True)
         sets = _decoded(table.column("tokens"))
         roots = open_block([sets[k] for k in order], percent)
-        cls = cls[order]
         tied = roots != np.arange(len(roots))
         return pa.table({"src": cls[tied], "dst": cls[roots[tied]]})
 
@@ -278,8 +277,10 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, size: int = SHI
     listed = spark.sparkContext.broadcast((values[order], ranks[order]))
 
     postings = docs.mapInArrow(_postings(size, percent, listed, SALTS), "token long, salt long, cls long, n long")
-    shared = Window.partitionBy("token", "salt")
-    several = postings.withColumn("least", F.min("cls").over(shared)).withColumn("most", F.max("cls").over(shared)).where("least <> most or salt >= 0").select("token", "cls", "n")
+    # sets that link differ little in size: of a token's sets ordered by size, those with a near neighbour stay
+    by_size = Window.partitionBy("token", "salt").orderBy("n", "cls")
+    near = (F.col("n") * percent <= F.lag("n").over(by_size) * 100) | (F.lead("n").over(by_size) * percent <= F.col("n") * 100)
+    several = postings.withColumn("near", near).where("near or salt >= 0").select("token", "cls", "n")
     # sets that link differ in size by a factor of 1.25 at most: they share one of two neighbouring bands
     low = F.floor(F.log(F.col("n")) / F.log(F.lit(1.01 * 100 / percent)))
     banded = materialise(several.withColumn("band", F.explode(F.array(low, low + 1))).groupBy("token", "band", "cls").agg(F.max("n").alias("n")), "banded")
@@ -289,7 +290,7 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, size: int = SHI
     blocks = materialise(blocks.join(sizes, ["leader", "band"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")), "blocks")
 
     wanted = blocks.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id"))
-    sets = _of_these(docs, wanted.where("doc_id is not null")).mapInArrow(_token_sets(size), "cls long, tokens binary").dropDuplicates(["cls"])
+    sets = _of_these(docs, wanted.where("doc_id is not null")).mapInArrow(_token_sets(size), "cls long, tokens binary")
     sets = materialise(sets, "sets")
     # the leader takes part in each chunk of its block
     extra = blocks.where("chunks > 1 and cls = leader").select("leader", "band", "cls", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
