@@ -51,6 +51,16 @@ def _sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.
     return docs, tokens, n, mix(sums[ends] - sums[ends - n] + n.astype(np.uint64)).view(np.int64)
 
 
+def _least(n, percent: int):
+    """The least overlap of a set of `n` tokens with one that it links with."""
+    return (percent * n + 99) // 100
+
+
+def _tenth(n):
+    """Tokens that the prefixes of two linked sets share at least, for the smaller one's size."""
+    return (n + 9) // 10
+
+
 def _survey(size: int):
     """Pass 1: a row (doc_id, cls, n) for each document, and rows (token, seen) for tokens that several documents nearby have."""
 
@@ -108,7 +118,7 @@ def _postings(size: int, percent: int, frequent, salts: int):
             order = np.lexsort((tokens, rank, docs))
             docs, tokens, rank = docs[order], tokens[order], rank[order]
             place = np.arange(len(tokens)) - (np.cumsum(n) - n)[docs]
-            keep = (place < (n - (percent * n + 99) // 100 + 1)[docs]) & _first_seen(cls, known)[docs]
+            keep = (place < (n - _least(n, percent) + _tenth(n))[docs]) & _first_seen(cls, known)[docs]
             docs, tokens, rank = docs[keep], tokens[keep], rank[keep]
             salt = np.where(rank > 0, (cls.view(np.uint64) >> np.uint64(40)).astype(np.int64)[docs] % salts, -1)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(salt), pa.array(cls[docs]), pa.array(n[docs])], ["token", "salt", "cls", "n"])
@@ -154,7 +164,7 @@ class _Block:
 
     def least(self, one: int) -> int:
         """The least overlap of a document that links with document `one`."""
-        return int(-(-self.percent * self.sizes[one] // 100))
+        return int(_least(self.sizes[one], self.percent))
 
 
 def open_block(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -245,10 +255,10 @@ def _open_crossing(percent: int):
     return run
 
 
-def _of_these(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is among the distinct `ids`; the ids are broadcast only if they are few."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def _broadcast_if_few(ids: DataFrame) -> DataFrame:
+    """One column of distinct ids, to be broadcast in a join only if there are few of them."""
+    ids = materialise(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def ngram_jaccard_components(docs: DataFrame, percent: int = 80, size: int = SHINGLE, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
@@ -280,7 +290,11 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, size: int = SHI
     # sets that link differ little in size: of a token's sets ordered by size, those with a near neighbour stay
     by_size = Window.partitionBy("token", "salt").orderBy("n", "cls")
     near = (F.col("n") * percent <= F.lag("n").over(by_size) * 100) | (F.lead("n").over(by_size) * percent <= F.col("n") * 100)
-    several = postings.withColumn("near", near).where("near or salt >= 0").select("token", "cls", "n")
+    several = materialise(postings.withColumn("near", near).where("near or salt >= 0").select("token", "cls", "n"), "several")
+    # and a linked set shares a tenth of the smaller size with such neighbours
+    smaller = F.floor((percent * F.col("n") + 99) / 100)
+    able = several.groupBy("cls").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= F.floor((smaller + 9) / 10)).select("cls")
+    several = several.join(_broadcast_if_few(able), "cls", "left_semi")
     # sets that link differ in size by a factor of 1.25 at most: they share one of two neighbouring bands
     low = F.floor(F.log(F.col("n")) / F.log(F.lit(1.01 * 100 / percent)))
     banded = materialise(several.withColumn("band", F.explode(F.array(low, low + 1))).groupBy("token", "band", "cls").agg(F.max("n").alias("n")), "banded")
@@ -290,7 +304,7 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, size: int = SHI
     blocks = materialise(blocks.join(sizes, ["leader", "band"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")), "blocks")
 
     wanted = blocks.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id"))
-    sets = _of_these(docs, wanted.where("doc_id is not null")).mapInArrow(_token_sets(size), "cls long, tokens binary")
+    sets = docs.join(_broadcast_if_few(wanted.where("doc_id is not null")), "doc_id", "left_semi").mapInArrow(_token_sets(size), "cls long, tokens binary")
     sets = materialise(sets, "sets")
     # the leader takes part in each chunk of its block
     extra = blocks.where("chunks > 1 and cls = leader").select("leader", "band", "cls", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
