@@ -20,6 +20,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op5_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as AVI motion-JPEG and read back, as digests; feature: its shots as frames."""
+    from newsloom.llm.avi_media import decode_avi, encode_avi
+
+    back = decode_avi(encode_avi(table(spark, sf_dir, "documents")))
+    clips = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["start_frame"].cast("string"), c["end_frame"].cast("string"))), ",")
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.lit("clips:"), clips).alias("feature"),
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded under the multilingual byte-level vocabulary, as digests."""
     from newsloom.llm.byte_bpe import bpe_decode, bpe_encode
@@ -54,6 +72,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op5_media_avi": op5_media_avi,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_secrets": op7_secrets,
     "op9_packing": op9_packing,
