@@ -56,6 +56,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(found)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back along the verified chain of records."""
+    from newsloom.llm.warc_archive import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens of the word vocabulary."""
     from newsloom.llm.packing import pack_documents
@@ -75,8 +82,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media_avi": op5_media_avi,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_secrets": op7_secrets,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+        FROM f
+    """,
+}
