@@ -20,6 +20,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth embedding."""
+    from newsloom.llm.ann import nearest_by_inner_product
+
+    return nearest_by_inner_product(table(spark, sf_dir, "embeddings"))
+
+
 def op5_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as AVI motion-JPEG and read back, as digests; feature: its shots as frames."""
     from newsloom.llm.avi_media import decode_avi, encode_avi
@@ -79,6 +86,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op4_ann": op4_ann,
     "op5_media_avi": op5_media_avi,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_secrets": op7_secrets,
