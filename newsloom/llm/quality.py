@@ -24,13 +24,18 @@ from newsloom.shared import materialise
 
 #: Weight of the pooled covariance in a class's, and of the identity in both (features in pooled deviations).
 TO_POOLED, TO_IDENTITY = 0.1, 0.05
+#: Characters (words / 5) of nothing that shares are taken over besides the text's own, so that short texts say little.
+PULL = 40
+#: How much worse it is to reject a good document than to keep a poor one, as a log-density. Statistics of one text
+#: hang together, so that Gaussian log-densities overstate what they say several times; hence the size.
+COST = 26.0
 
 FEATURES = ("words", "word_length", "upper", "digits", "marks", "symbols", "foreign", "repeats", "variety", "line_words", "line_ends")
 
 
-def _shares(part, whole) -> np.ndarray:
-    """Arcsine of the root of a share, which spreads small shares out; 0 where there is no whole."""
-    return np.arcsin(np.sqrt(np.minimum(1.0, np.divide(part, whole, out=np.zeros(len(whole)), where=whole > 0))))
+def _shares(part, whole, pull: int = PULL) -> np.ndarray:
+    """Arcsine of the root of a share, which spreads small shares out; shares of little are drawn towards 0."""
+    return np.arcsin(np.sqrt(np.minimum(1.0, part / (whole + pull))))
 
 
 def text_statistics(texts: pa.Array) -> np.ndarray:
@@ -63,10 +68,10 @@ def text_statistics(texts: pa.Array) -> np.ndarray:
         _shares(marks, chars),
         _shares(symbols, chars),
         _shares(foreign, letters),
-        _shares(rest[:, 1], words),
+        _shares(rest[:, 1], words, PULL // 5),
         np.log(rest[:, 2] + 0.01),
         np.log1p(words / lines),
-        _shares(table[:, ord(".")] + table[:, ord("!")] + table[:, ord("?")], words),
+        _shares(table[:, ord(".")] + table[:, ord("!")] + table[:, ord("?")], words, PULL // 5),
     ])
 
 
@@ -95,7 +100,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Discriminant:
-    """Means, inverse Cholesky factors and log-determinants of both classes, and the log of the prior odds."""
+    """Means, inverse Cholesky factors and log-determinants of both classes, and the log of the prior odds with COST."""
 
     means: np.ndarray
     inverses: np.ndarray
@@ -118,10 +123,10 @@ class Discriminant:
             factor = np.linalg.cholesky(own)
             inverses.append(np.linalg.inv(factor) / unit)
             logdets.append(2 * np.log(np.diag(factor)).sum())
-        return cls(means, np.stack(inverses), np.array(logdets), math.log(n[1] / n[0]))
+        return cls(means, np.stack(inverses), np.array(logdets), math.log(n[1] / n[0]) + COST)
 
     def difference(self, x: np.ndarray) -> np.ndarray:
-        """Log-density of class 1 less that of class 0, with the prior."""
+        """Log-density of class 1 less that of class 0, with the prior and the cost."""
         logs = [-0.5 * ((((x - self.means[k]) @ self.inverses[k].T) ** 2).sum(1) + self.logdets[k]) for k in (0, 1)]
         return logs[1] - logs[0] + self.prior
 
