@@ -332,3 +332,16 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, size: int = SHI
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = labelled.join(least, "component").select("cls", "component_id")
     return named.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
+    """One row of `docs` (doc_id, text, any other columns) for each component of ngram_jaccard_components: the least doc_id's.
+
+    Rows with null doc_id stay. Of rows that repeat a doc_id one stays.
+    """
+    found = ngram_jaccard_components(docs, percent, size)
+    gone = _broadcast_if_few(found.where("component_id <> doc_id").select("doc_id").distinct())
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return left

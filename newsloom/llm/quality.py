@@ -30,6 +30,9 @@ PULL = 40
 #: hang together, so that Gaussian log-densities overstate what they say several times; hence the size.
 COST = 26.0
 
+#: Labelled ids up to which they are broadcast (8 bytes each); beyond, a shuffle join does it.
+BROADCAST_IDS = 1_000_000
+
 FEATURES = ("words", "word_length", "upper", "digits", "marks", "symbols", "foreign", "repeats", "variety", "line_words", "line_ends")
 
 
@@ -177,3 +180,26 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
     model = fit_quality(statistics, labels)
     scored = statistics.mapInArrow(_score(model), f"{fields}, score double")
     return scored.select("doc_id", *(F.col(f"kept_{c}").alias(c) for c in kept), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _keep_good(model: Discriminant | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            if model:
+                batch = batch.filter(pa.array(model.difference(text_statistics(batch.column("text").cast(pa.string()))) >= 0))
+            yield batch
+
+    return run
+
+
+def drop_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, any other columns) that quality_scores would predict as 1.
+
+    Every row is judged by its own text, also where doc_id is null or repeats. Only the statistics of the labelled
+    documents are written out; the texts are read twice.
+    """
+    ids = materialise(labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "labelled")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    labelled = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    model = fit_quality(materialise(labelled.mapInArrow(_statistics, "doc_id long, x array<double>"), "statistics"), labels)
+    return docs.mapInArrow(_keep_good(model), docs.schema)
