@@ -67,42 +67,44 @@ class PairTable:
 class ByteBPE:
     """Encoder and decoder for a file of base64 tokens and ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], merges: list[tuple[int, int, int]] | None = None):
-        """`merges`: the pairs that may merge with the merged id, which must rise with their rank; by default, as
-        tiktoken has it, all pairs that make up a token, and a word that is a token as a whole stays one."""
-        self.whole = ranks if merges is None else {}
-        found = merges if merges is not None else [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        left, right, merged = np.array(found, np.int32).reshape(-1, 3).T
-        self.pairs = PairTable(left, right, merged)
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        by_id = [b""] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            by_id[r] = t
+    def __init__(self, tokens: dict[int, bytes], merges: list[tuple[int, int, int]], single: np.ndarray, last: np.ndarray, whole: dict[bytes, int]):
+        """`tokens`: bytes by id; `merges`: pairs with the merged id, which rises with their rank; `single`, `last`: the id
+        of each byte within a word and at its end; `whole`: words that are one token whatever the merges."""
+        left, right, merged = np.array(merges, np.int32).reshape(-1, 3).T
+        self.pairs, self.single, self.last, self.whole = PairTable(left, right, merged), single, last, whole
+        by_id = [tokens.get(k, b"") for k in range(max(tokens) + 1)]
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
         self.lengths = np.array([len(t) for t in by_id], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     @classmethod
     def from_ranks(cls, path: str) -> ByteBPE:
-        """From lines of a base64 token and its rank, the format of tiktoken."""
+        """From lines of a base64 token and its rank, the format of tiktoken: every pair that makes up a token may merge."""
         with open(path, "rb") as lines:
-            return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())})
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+        merges = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        return cls({r: t for t, r in ranks.items()}, merges, single, single, ranks)
 
     @classmethod
     def from_json(cls, path: str) -> ByteBPE:
-        """From a byte-level BPE file of the tokenizers library."""
+        """From a byte-level BPE file of the tokenizers library, with or without a suffix for the end of a word."""
         with open(path, encoding="utf-8") as f:
-            whole = json.load(f)
-        model = whole["model"]
+            data = json.load(f)
+        model, special = data["model"], {t["content"] for t in data["added_tokens"]}
         # the printable characters that stand for bytes in these files: printable Latin-1 for itself, the rest from U+0100 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letter = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
-        special = {t["content"] for t in whole["added_tokens"]}
-        vocab = {t: i for t, i in model["vocab"].items() if t not in special}
-        merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+        char = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
+        byte = {c: b for b, c in char.items()}
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        merges = []
+        for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"]):
+            merges.append((vocab[a], vocab[b], vocab[a + b]))
         if any(x[2] >= y[2] for x, y in zip(merges, merges[1:], strict=False)) or model.get("ignore_merges"):
             raise ValueError(f"{path}: the ids of merged tokens do not rise with their rank")
-        return cls({bytes(letter[c] for c in t): i for t, i in vocab.items()}, merges)
+        single, last = (np.array([vocab[char[b] + end] for b in range(256)], np.int32) for end in ("", suffix))
+        tokens = {i: bytes(byte[c] for c in (t.removesuffix(suffix) if suffix else t)) for t, i in vocab.items() if t not in special}
+        return cls(tokens, merges, single, last, {})
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as 32-bit integers of this machine."""
@@ -127,6 +129,7 @@ class ByteBPE:
         sizes = np.array([len(w) for w in words])
         ids = np.full((len(words), width), -1, np.int32)
         ids[np.arange(width) < sizes[:, None]] = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        ids[np.arange(len(words)), sizes - 1] = self.last[np.array([w[-1] for w in words])]
         ranks = np.full(ids.shape, _NONE, np.int32)
         ranks[:, :-1] = self.pairs.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(words), width - 1)
         places, columns = np.array(places), np.arange(width)

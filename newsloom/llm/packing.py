@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.arrow import text_slices
+from newsloom.llm.byte_bpe import load_bpe
 from newsloom.llm.pretokens import PieceCache, load_tokenizer, settled, splitter
 from newsloom.shared import materialise
 
@@ -44,22 +45,20 @@ def _special(path: str) -> re.Pattern:
 class WordIds:
     """Ids of texts as little-endian unsigned 32-bit integers, as the tokenizers library gives them for the file.
 
-    Settled texts are lower-cased and split here and each distinct word is encoded once; texts with added
-    tokens or other scripts go to the library as a whole.
+    Settled texts are lower-cased and split here and each distinct word is encoded once, all new words of a
+    slice together; texts with added tokens or other scripts go to the library as a whole.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.special, self.split = load_tokenizer(path), _special(path), splitter(WORDS)
-        self.known = PieceCache(self._encode)
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for k in range(0, len(words), 5000) for e in self.tokenizer.encode_batch_fast(words[k : k + 5000], add_special_tokens=False)]
+        self.tokenizer, self.special, self.split, bpe = load_tokenizer(path), _special(path), splitter(WORDS), load_bpe(path)
+        self.known = PieceCache(lambda words: bpe.encode_words([w.encode() for w in words]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         plain = [settled(t) and not self.special.search(t) for t in texts]
         words = [self.split(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
         self.known.learn(set().union(*words))
-        return [b"".join(map(self.known.__getitem__, w)) if p else self._encode([t])[0] for t, w, p in zip(texts, words, plain, strict=True)]
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return [b"".join(map(self.known.__getitem__, w)) if p else whole(t) for t, w, p in zip(texts, words, plain, strict=True)]
 
 
 class _Piece:
