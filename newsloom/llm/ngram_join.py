@@ -26,8 +26,8 @@ from newsloom.llm.hashing import SHINGLE, mix, shingle_hashes, text_buffer, word
 from newsloom.operators.graph import connected_components
 from newsloom.shared import materialise
 
-#: Tokens in the list of frequent ones: 12 bytes each, whatever the corpus' size.
-FREQUENT = 65_536
+#: Tokens in the list of frequent ones: 16 bytes each, whatever the corpus' size.
+FREQUENT = 262_144
 #: Salts over which a frequent token's documents are dealt.
 SALTS = 32
 #: Documents that one task opens together.
@@ -297,7 +297,7 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, size: int = SHI
     several = several.join(_broadcast_if_few(able), "cls", "left_semi")
     # sets that link differ in size by a factor of 1.25 at most: they share one of two neighbouring bands
     low = F.floor(F.log(F.col("n")) / F.log(F.lit(1.01 * 100 / percent)))
-    banded = materialise(several.withColumn("band", F.explode(F.array(low, low + 1))).groupBy("token", "band", "cls").agg(F.max("n").alias("n")), "banded")
+    banded = several.withColumn("band", F.explode(F.array(low, low + 1)))
     leaders = banded.groupBy("token", "band").agg(F.min("cls").alias("leader"), F.max("cls").alias("most")).where("leader <> most").drop("most")
     blocks = banded.join(leaders, ["token", "band"]).groupBy("leader", "band", "cls").agg(F.max("n").alias("n"))
     sizes = blocks.groupBy("leader", "band").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("chunks"))
