@@ -11,6 +11,7 @@ are asked for can be in a result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +50,12 @@ class Codebooks:
         self.words = words.astype(np.float32)
         self.m, self.k, self.d = words.shape
         self.flat = self.words.reshape(-1, self.d)
-        self.gram = self.flat @ self.flat.T
-        self.squares = np.ascontiguousarray(np.diag(self.gram)).reshape(self.m, self.k)
+        self.squares = (self.flat * self.flat).sum(1).reshape(self.m, self.k)
+
+    @functools.cached_property
+    def gram(self) -> np.ndarray:
+        """Products of all codewords, which only the encoder needs."""
+        return self.flat @ self.flat.T
 
     def __reduce__(self):
         return Codebooks, (self.words,)  # the tables are made anew where they arrive
@@ -111,7 +116,10 @@ def fit(sample: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, seed
         np.add.at(sums, codes[:, m], x)
     # pulled a little to what was found, so that rare words stay in place
     pull = np.float32(0.5)
-    better = np.linalg.solve(pairs + pull * np.eye(size, dtype=np.float32), sums + pull * books.flat)
+    flat = books.flat
+    del books  # with its table of products
+    pairs[np.diag_indices(size)] += pull
+    better = np.linalg.solve(pairs, sums + pull * flat)
     return Codebooks(better.reshape(codebooks, k, -1))
 
 
