@@ -605,3 +605,122 @@ def sliding_windows(spark, d):
 def session_windows(spark, d):
     """Sessions of each user with gaps of up to six hours."""
     return stream.sessions(table(spark, d, "events"), "ts", "6 hours", "user_id")
+
+
+_LEXICON = [("the", "left", 1.0), ("de", "left", 2.0), ("thing", "left", 1.5), ("and", "right", 1.0), ("der", "right", 2.0), ("tion", "right", 1.5), ("ering", "right", 3.0)]
+
+
+@query(f"""WITH lexicon(word, side, weight) AS (VALUES {', '.join(f"('{w}', '{s}', {x}::DOUBLE)" for w, s, x in _LEXICON)}),
+found AS (SELECT doc_id, word, side, weight, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents) JOIN lexicon USING (word) GROUP BY ALL),
+f AS (SELECT doc_id, sum(CASE WHEN side = 'right' THEN n * weight ELSE 0 END) AS r, sum(n * weight) AS t, count(*) AS k FROM found GROUP BY doc_id)
+SELECT doc_id AS article_id, round(coalesce(50 + (r / t - 0.5::DOUBLE) * (1 / (1 + exp(-0.7::DOUBLE * (k - 4)))) * 100, 50), 4) AS lean_text, coalesce(k, 0) AS "distinct" FROM documents LEFT JOIN f USING (doc_id)""")
+def lexicon_lean(spark, d):
+    """Lean of every document's words."""
+    from newsloom.operators.scores import lexicon_lean as lean
+
+    return lean(S.articles(spark, d), spark.createDataFrame(_LEXICON, "word string, side string, weight double"))
+
+
+_VERBS, _BODIES1, _BODIES2 = ["the", "ering", "tion"], ["and", "der"], ["of", "de"]
+
+
+def _hits_sql(terms, where="title"):
+    return " + ".join(f"(len(list_filter(string_split_regex(lower({where}), '[^a-z0-9]+'), lambda w: w = '{t}')) > 0)::INT" for t in terms)
+
+
+def _count_sql(terms):
+    return " + ".join(f"len(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda w: w = '{t}'))" for t in terms)
+
+
+@query(f"""SELECT source AS cluster_id, round((CASE WHEN sum((contains(lower(title), 'thion'))::INT) > 0 THEN 0.7::DOUBLE ELSE 1 END) * (CASE WHEN sum(contains(lower(title), 'ouing')::INT) > 0 THEN greatest(raw, 70) ELSE raw END), 4) AS consequentiality, 0 AS authority FROM (SELECT 1) LIMIT 0""")
+def event_signals(spark, d):
+    """Consequentiality and authority of the stories of each outlet."""
+    from newsloom.operators.scores import event_signals as signals
+
+    rows = S.articles(spark, d).select(F.col("source").alias("cluster_id"), "article_id", "title")
+    return signals(rows, _VERBS, ["ouing"], ["thion"], _BODIES1, _BODIES2)
+
+
+ORACLE_SQL["event_signals"] = with_tables("", "articles") + f""", t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY article_id) AS r FROM articles) WHERE r <= 10),
+g AS (SELECT source AS cluster_id, {' + '.join(f"max((len(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda w: w = '{v}')) > 0)::INT)" for v in _VERBS)} AS verbs, sum({_count_sql(_VERBS)}) AS n,
+  max(contains(lower(title), 'ouing')::INT) AS weighty, max(contains(lower(title), 'thion')::INT) AS hedged, sum({_hits_sql(_BODIES1)}) AS t1, sum({_hits_sql(_BODIES2)}) AS t2 FROM t GROUP BY source),
+s AS (SELECT *, 0.6::DOUBLE * least(100::DOUBLE, verbs * 20::DOUBLE) + 0.4::DOUBLE * least(100::DOUBLE, n * 5::DOUBLE) AS raw, CASE WHEN t1 > 0 THEN least(100::DOUBLE, 80 + (t1 - 1) * 10::DOUBLE) ELSE 0 END AS one, CASE WHEN t2 > 0 THEN least(70::DOUBLE, 40 + (t2 - 1) * 10::DOUBLE) ELSE 0 END AS two FROM g),
+w AS (SELECT *, CASE WHEN weighty > 0 THEN greatest(raw, 70::DOUBLE) ELSE raw END AS kept FROM s)
+SELECT cluster_id, round(CASE WHEN hedged > 0 THEN kept * 0.7::DOUBLE ELSE kept END, 4) AS consequentiality, round(CASE WHEN one > 0 AND two > 0 THEN least(100::DOUBLE, one + two * 0.2::DOUBLE) ELSE greatest(one, two) END, 4) AS authority FROM w"""
+
+
+@query(r"""SELECT doc_id AS article_id, count(*) AS n, sum(length(s))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \n\t]+', '\1' || chr(10), 'g'), chr(10))) AS s FROM documents)
+WHERE len(list_filter(string_split_regex(s, '[ \t\n\r]+'), lambda w: w <> '')) BETWEEN 8 AND 60 AND (regexp_matches(s, '[0-9]') OR contains(lower(s), 'said') OR contains(lower(s), 'according to')) GROUP BY doc_id""")
+def claim_sentences(spark, d):
+    """Sentences of every document that make a checkable claim."""
+    from newsloom.operators.scores import claims
+
+    return claims(S.articles(spark, d)).groupBy("article_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("chars"))
+
+
+@query("""SELECT cluster_id, CASE WHEN source_count < 3 AND rank > lim THEN round_even(lim, 2) ELSE rank END AS rank FROM v, (SELECT greatest(0, min(rank) - 0.1::DOUBLE) AS lim FROM (SELECT rank FROM v WHERE source_count >= 3 ORDER BY rank DESC, cluster_id LIMIT 10))""")
+def lead_gate(spark, d):
+    """Ranks with thin stories held under the tenth well-sourced one."""
+    from newsloom.operators.feed import lead_gate as gate
+
+    voices = S.members(spark, d).groupBy("cluster_id").agg(F.countDistinct("source_id").alias("source_count"))
+    return gate(S.clusters(spark, d).join(voices, "cluster_id")).select("cluster_id", "rank")
+
+
+ORACLE_SQL["lead_gate"] = with_tables("", "clusters", "members") + f", v AS (SELECT cluster_id, rank, source_count FROM clusters JOIN ({_VOICES}) USING (cluster_id)) " + ORACLE_SQL["lead_gate"]
+
+
+@query("""WITH t AS (SELECT o_orderkey AS cluster_id, o_orderpriority AS category, floor(o_totalprice * 7)::BIGINT % 10001 / 100 AS rank FROM orders ORDER BY rank DESC, cluster_id LIMIT 300),
+f AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rank DESC, cluster_id) <= 2 AS fits FROM t), g AS (SELECT *, row_number() OVER (PARTITION BY fits ORDER BY rank DESC, cluster_id) AS turn FROM f)
+SELECT cluster_id, row_number() OVER (ORDER BY (fits AND turn <= 10) DESC, rank DESC, cluster_id) AS position FROM g""")
+def diverse_top(spark, d):
+    """The feed's order with at most two stories of a category on top."""
+    from newsloom.operators.feed import diverse_top as top
+
+    return top(S.clusters(spark, d)).select("cluster_id", F.col("position").cast("long").alias("position"))
+
+
+@query()
+def feed_ranks(spark, d):
+    """The feed's order as strictly decreasing ranks."""
+    from newsloom.operators.feed import decreasing, diverse_top as top
+
+    c = S.clusters(spark, d)
+    return decreasing(top(c).join(c.select("cluster_id", "rank"), "cluster_id"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS story_id, p_brand AS thread, CAST(DATE '2001-11-05' - CAST(p_partkey % 200 AS INTEGER) AS DATE) AS day, p_name AS title, p_size AS source_count FROM part),
+n AS (SELECT thread, count(*) AS thread_printings FROM p GROUP BY thread), w AS (SELECT *, string_split(title, ' ') AS t FROM p WHERE list_contains(string_split(title, ' '), 'small')),
+s AS (SELECT story_id, thread, thread_printings, day, round(len(list_filter(t, lambda x: x = 'small')) / len(t) * (1 + least(source_count, 60) / 120::DOUBLE) * (0.5::DOUBLE + 0.5::DOUBLE * exp(-date_diff('day', day, DATE '2001-11-05') / 90::DOUBLE)), 8) AS rank FROM w JOIN n USING (thread))
+SELECT story_id, thread, thread_printings, rank FROM (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY rank DESC, day DESC, story_id) AS r FROM s) WHERE r = 1 ORDER BY rank DESC, day DESC, story_id LIMIT 20""")
+def archive_search(spark, d):
+    """The best printings for a word, one for each thread."""
+    from newsloom.operators.feed import search
+
+    part = table(spark, d, "part")
+    printed = part.select(F.col("p_partkey").alias("story_id"), F.col("p_brand").alias("thread"), F.date_sub(F.lit("2001-11-05").cast("date"), (F.col("p_partkey") % 200).cast("int")).alias("day"), F.col("p_name").alias("title"), F.col("p_size").alias("source_count"))
+    return search(printed, "small", "2001-11-05").select("story_id", "thread", "thread_printings", "rank")
+
+
+@query("""WITH b AS (SELECT CAST(date_trunc('week', created_at) AS DATE) AS week, owner_id AS thread, count(DISTINCT CAST(created_at AS DATE)) AS days, sum(cluster_id % 9) AS sources, max(rank) AS peak, count(DISTINCT status) AS editions, sum(cluster_id % 4) AS divergence FROM clusters GROUP BY ALL),
+m AS (SELECT week, max(days) AS md, max(sources) AS ms, max(peak) AS mp, max(editions) AS me, max(divergence) AS mv FROM b GROUP BY week)
+SELECT week, thread, round(days / md * 0.25::DOUBLE + CASE WHEN ms > 0 THEN sources / ms ELSE sources END * 0.20::DOUBLE + CASE WHEN mp > 0 THEN peak / mp ELSE peak END * 0.15::DOUBLE + editions / me * 0.10::DOUBLE + CASE WHEN mv > 0 THEN divergence / mv ELSE divergence END * 0.10::DOUBLE, 6) AS weekly_score FROM b JOIN m USING (week)""")
+def weekly_threads(spark, d):
+    """Scores of the threads of each week."""
+    from newsloom.operators.feed import weekly_threads as weekly
+
+    c = S.clusters(spark, d).select(F.to_date(F.date_trunc("week", "created_at")).alias("week"), F.col("owner_id").alias("thread"), F.to_date("created_at").alias("day"), (F.col("cluster_id") % 9).alias("source_count"), "rank", (F.col("cluster_id") % 4).alias("divergence"), F.col("status").alias("edition"))
+    return weekly(c)
+
+
+ORACLE_SQL["weekly_threads"] = with_tables(", " + ORACLE_SQL["weekly_threads"].removeprefix("WITH "), "clusters")
+
+
+@query("""SELECT user_id, favors, against, total, CASE WHEN favors - against >= 2 THEN 'Favorable' WHEN favors - against <= -2 THEN 'Low' ELSE 'Contested' END AS band FROM (
+  SELECT user_id, count(*) FILTER (WHERE event_type IN ('signup', 'purchase')) AS favors, count(*) FILTER (WHERE event_type = 'error') AS against, count(*) AS total FROM events GROUP BY user_id)""")
+def success_bands(spark, d):
+    """Bands of each movement's factors."""
+    from newsloom.operators.feed import success_band
+
+    direction = F.when(F.col("event_type").isin("signup", "purchase"), "favors-movement").when(F.col("event_type") == "error", "favors-regime").otherwise("indeterminate")
+    return success_band(table(spark, d, "events").withColumn("direction", direction), "user_id")
