@@ -96,9 +96,22 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -
         part[short & (k >= np.repeat(counts, counts))] = 0
         out += part
     keep = whole | short
-    docs, out = docs[keep], mix(out[keep])
-    order = np.lexsort((out, docs))
-    docs, out = docs[order], out[order]
-    fresh = np.ones(len(out), bool)
-    fresh[1:] = (docs[1:] != docs[:-1]) | (out[1:] != out[:-1])
-    return docs[fresh], out[fresh]
+    return distinct_sorted(docs[keep], mix(out[keep]), len(counts))
+
+
+def distinct_sorted(docs: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text number, hash) in this order; text numbers are under `n`.
+
+    One sort of both packed into 64 bits; in the rare case that this leaves different hashes of a text unordered,
+    a sort by both.
+    """
+    bits = np.uint64(max(1, n).bit_length())
+    order = np.argsort(docs.astype(np.uint64) << (np.uint64(64) - bits) | hashes >> bits)
+    docs, hashes = docs[order], hashes[order]
+    same = docs[1:] == docs[:-1]
+    if (same & (hashes[1:] < hashes[:-1])).any():
+        order = np.lexsort((hashes, docs))
+        docs, hashes = docs[order], hashes[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = ~same | (hashes[1:] != hashes[:-1])
+    return docs[fresh], hashes[fresh]

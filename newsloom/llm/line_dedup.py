@@ -87,6 +87,20 @@ def _survey(least: int):
     return run
 
 
+def _signatures(line: np.ndarray, token: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each line: whether an odd number of its words fall on each. Bits in which two lines differ are at
+    most the words that only one of them has, however long they are."""
+    out = []
+    start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+    bit = np.uint64(1) << (token >> np.uint64(1) & np.uint64(63))
+    for side in (0, 1):
+        own = np.zeros(lines, np.uint64)
+        if len(line):
+            own[line[start]] = np.bitwise_xor.reduceat(np.where(token & np.uint64(1) == side, bit, np.uint64(0)), start)
+        out.append(own)
+    return out[0], out[1]
+
+
 def _prefixes(least: int, percent: int, frequent, buckets: int):
     """(bucket, entries): packed prefix entries of each distinct line of a slice, by bucket of the word."""
 
@@ -96,24 +110,23 @@ def _prefixes(least: int, percent: int, frequent, buckets: int):
             _, _, line, token, n, cls = _line_sets(batch)
             once = np.zeros(len(n), bool)
             once[np.unique(cls, return_index=True)[1]] = True
-            bits = np.zeros((2, len(n)), np.uint64)
-            side, bit = (token & np.uint64(1)).astype(np.int64), np.uint64(1) << (token >> np.uint64(1) & np.uint64(63))
-            np.bitwise_or.at(bits, (side, line), bit)
             keep = (once & (n >= least))[line]
             line, token = line[keep], token[keep]
             rank = np.zeros(len(token), np.int64)
             if len(values):
                 at = np.minimum(np.searchsorted(values, token), len(values) - 1)
                 rank = np.where(values[at] == token, ranks[at], 0)
-            order = np.lexsort((token, rank, line))
+            low, high = _signatures(line, token, len(n))
+            # by line, then rarest first; within a rank the words stay in the order of their hashes
+            order = np.argsort(line * (len(values) + 2) + rank, kind="stable")
             line, token = line[order], token[order]
             first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
             place = np.arange(len(line)) - np.repeat(first, np.diff(np.r_[first, len(line)]))
             keep = place < (n - (percent * n + 99) // 100 + 1)[line]
             line, token, place = line[keep], token[keep], place[keep]
             entry = np.empty(len(line), ENTRY)
-            entry["token"], entry["cls"], entry["n"], entry["place"] = token, cls[line], n[line], place
-            entry["low"], entry["high"] = bits[0][line], bits[1][line]
+            entry["token"], entry["cls"], entry["n"], entry["place"] = token >> np.uint64(32), cls[line], n[line], place
+            entry["low"], entry["high"] = low[line], high[line]
             bucket = (mix(token ^ _SEED) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             entry, bucket = entry[order], bucket[order]
@@ -124,14 +137,19 @@ def _prefixes(least: int, percent: int, frequent, buckets: int):
     return run
 
 
-ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("low", "<u8"), ("high", "<u8"), ("n", "<i4"), ("place", "<i4")])
+#: A prefix entry; of the word's hash half is enough within a bucket: a clash only makes a candidate more.
+ENTRY = np.dtype([("cls", "<i8"), ("low", "<u8"), ("high", "<u8"), ("token", "<u4"), ("n", "<i4"), ("place", "<i4")])
 
 
 def candidate_pairs(entries: np.ndarray, percent: int, step: int = 2_000_000) -> Iterator[np.ndarray]:
     """Pairs (cls, cls) that share a prefix word and pass all filters; a pair can come more than once."""
-    entries = np.unique(entries[["token", "n", "cls", "place", "low", "high"]])  # copies from several tasks; ordered by word and size
-    token, n, cls, place = (np.ascontiguousarray(entries[f]) for f in ("token", "n", "cls", "place"))
-    low, high = np.ascontiguousarray(entries["low"]), np.ascontiguousarray(entries["high"])
+    order = np.lexsort((entries["cls"], entries["n"], entries["token"]))
+    token, cls = entries["token"][order], entries["cls"][order]
+    fresh = np.ones(len(order), bool)  # copies from several tasks
+    fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+    order, token, cls = order[fresh], token[fresh], cls[fresh]
+    n, place, low, high = (entries[f][order] for f in ("n", "place", "low", "high"))
+    place = place.astype(np.int64)
     n = n.astype(np.int64)
     cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     ends = np.repeat(np.r_[cut[1:], len(token)], np.diff(np.r_[cut, len(token)]))
@@ -150,7 +168,7 @@ def candidate_pairs(entries: np.ndarray, percent: int, step: int = 2_000_000) ->
         need = (percent * (n[a] + n[b]) + 99 + percent) // (100 + percent)  # least intersection
         # positional filter: this word is the first in common, or the pair passes at the first one
         ok = 1 + np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b]) - 1 >= need
-        # signatures: bits that only one has are words that only one has
+        # signatures: differing bits are words that only one has
         apart = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
         ok &= (apart <= n[a] + n[b] - 2 * need) & (cls[a] != cls[b])
         a, b = a[ok], b[ok]
