@@ -724,3 +724,102 @@ def success_bands(spark, d):
 
     direction = F.when(F.col("event_type").isin("signup", "purchase"), "favors-movement").when(F.col("event_type") == "error", "favors-regime").otherwise("indeterminate")
     return success_band(table(spark, d, "events").withColumn("direction", direction), "user_id")
+
+
+from newsloom.operators import serving  # noqa: E402
+
+
+@query("""SELECT cluster_id, count(*) AS articles, count(DISTINCT CASE WHEN line > 4 THEN topic_id % 10 ELSE source_id END) AS voices, round(count(*) / count(DISTINCT CASE WHEN line > 4 THEN topic_id % 10 ELSE source_id END), 4) AS amplification FROM members GROUP BY cluster_id""", "members")
+def voice_counts(spark, d):
+    """Voices of every cluster, copies counted as their origin."""
+    return serving.voice_counts(S.members(spark, d).withColumn("origin_id", F.when(F.col("line") > 4, F.col("topic_id") % 10)))
+
+
+@query("""WITH m AS (SELECT source AS cluster_id, article_id, title FROM articles), t AS (SELECT DISTINCT cluster_id, article_id, word FROM (SELECT cluster_id, article_id, unnest(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda w: length(w) >= 5)) AS word FROM m)),
+w AS (SELECT cluster_id, word FROM (SELECT cluster_id, word, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, word) AS r FROM t GROUP BY cluster_id, word) WHERE r <= 4),
+h AS (SELECT cluster_id, count(DISTINCT article_id) AS hit FROM t JOIN w USING (cluster_id, word) GROUP BY cluster_id)
+SELECT cluster_id, round(coalesce(hit, 0) / size, 6) AS coherence FROM (SELECT cluster_id, count(*) AS size FROM m GROUP BY cluster_id) LEFT JOIN h USING (cluster_id)""", "articles")
+def topic_coherence(spark, d):
+    """How many of each outlet's titles share its leading words."""
+    return serving.topic_coherence(S.articles(spark, d).withColumn("cluster_id", F.col("source")))
+
+
+ORACLE_SQL["topic_coherence"] = ORACLE_SQL["topic_coherence"].replace(" WITH m AS", ", m AS", 1)
+
+
+@query("""SELECT cluster_id, round(40 * (1 - confidence) + 35 * least(1::DOUBLE, n / 10) + 25 * least(1::DOUBLE, range / 60), 6) AS priority FROM (SELECT cluster_id, sum(topic_id % 10)::DOUBLE / (10 * count(*)) AS confidence, count(*) AS n, max(lean) - min(lean) AS range FROM members GROUP BY cluster_id)
+  ORDER BY priority DESC, cluster_id LIMIT 25""", "members")
+def second_opinions(spark, d):
+    """The 25 clusters most in need of a second opinion."""
+    by = S.members(spark, d).groupBy("cluster_id").agg((F.sum(F.col("topic_id") % 10) / (10 * F.count("*"))).alias("confidence"), F.count("*").alias("n"), (F.max("lean") - F.min("lean")).alias("range"))
+    return serving.priorities(by).select("cluster_id", "priority")
+
+
+@query("""SELECT tier, count(lean) AS n, round(avg(lean), 4) AS mean, round(stddev_samp(lean), 4) AS deviation, min(lean) AS low, max(lean) AS high, round(quantile_cont(lean, 0.25), 4) AS q1, round(quantile_cont(lean, 0.5), 4) AS q2, round(quantile_cont(lean, 0.75), 4) AS q3
+  FROM members JOIN sources USING (source_id) GROUP BY tier""", "members", "sources")
+def lean_by_tier(spark, d):
+    """Distribution of lean by tier."""
+    return serving.distribution_by(S.members(spark, d).join(F.broadcast(S.sources(spark, d)), "source_id"), "tier", "lean")
+
+
+@query("SELECT source, count(*) AS attempts, count(*) FILTER (WHERE n_chars >= 1000) AS captured, round(count(*) FILTER (WHERE n_chars >= 1000) / count(*), 6) AS rate FROM documents GROUP BY source")
+def capture_rates(spark, d):
+    """Documents of each source that came in full."""
+    return serving.capture_rates(table(spark, d, "documents"), "source", F.col("n_chars") >= 1000)
+
+
+@query("SELECT cluster_id, category, coalesce(votes, 0) AS votes FROM clusters LEFT JOIN (SELECT cluster_id, count(*) AS votes FROM members GROUP BY cluster_id) USING (cluster_id)", "clusters", "members")
+def vote_recount(spark, d):
+    """Members counted anew for every cluster."""
+    return serving.recounted(S.clusters(spark, d).select("cluster_id", "category"), S.members(spark, d), "cluster_id", "votes")
+
+
+@query("""SELECT cluster_id, round(200 * least(l, r) / n + 0.5::DOUBLE * (high - low) + CASE WHEN low <= 42 AND high >= 58 THEN 20 ELSE 0 END, 4) AS disagreement FROM (
+  SELECT cluster_id, count(*) FILTER (WHERE lean <= 45) AS l, count(*) FILTER (WHERE lean > 55) AS r, count(*) AS n, min(lean) AS low, max(lean) AS high FROM members GROUP BY cluster_id)""", "members")
+def cluster_disagreement(spark, d):
+    """Disagreement of every cluster."""
+    return serving.disagreement(S.members(spark, d))
+
+
+@query("""WITH o AS (SELECT * FROM (SELECT cluster_id, source_id, lean, row_number() OVER (PARTITION BY cluster_id, lean ORDER BY source_id % 3, source_id) AS r FROM members) WHERE r = 1)
+SELECT cluster_id, source_id, slot FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY NOT (lean = low OR lean = high), source_id % 3, lean) AS slot FROM (SELECT *, min(lean) OVER (PARTITION BY cluster_id) AS low, max(lean) OVER (PARTITION BY cluster_id) AS high FROM o)) WHERE slot <= 3""", "members")
+def display_outlets(spark, d):
+    """Three outlets of each cluster that span its leans."""
+    return serving.display_outlets(S.members(spark, d).select("cluster_id", "source_id", "lean", (F.col("source_id") % 3).alias("tier_rank"))).select("cluster_id", "source_id", F.col("slot").cast("long").alias("slot"))
+
+
+ORACLE_SQL["display_outlets"] = ORACLE_SQL["display_outlets"].replace(" WITH o AS", ", o AS", 1)
+
+
+@query(f"""SELECT source, article_id, n_words FROM (SELECT source, article_id, {_COUNT} AS n_words, row_number() OVER (PARTITION BY source ORDER BY {_COUNT} DESC, article_id) AS r FROM (SELECT *, body AS text FROM articles)) WHERE r = 1""", "articles")
+def best_article_text(spark, d):
+    """The longest article of each source."""
+    return serving.best_text(S.articles(spark, d), "source").select("source", "article_id", F.col("n_words").cast("long").alias("n_words"))
+
+
+@query("""SELECT a.event_id AS claim_id, count(*) AS corroborations FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type <> b.event_type AND b.ts >= a.ts + INTERVAL 6 HOURS AND b.ts <= a.ts + INTERVAL 24 HOURS GROUP BY a.event_id""")
+def later_corroboration(spark, d):
+    """Later claims by others on the same topic."""
+    return serving.later_corroboration(table(spark, d, "events").select(F.col("event_id").alias("claim_id"), F.col("event_type").alias("source_id"), F.col("user_id").alias("topic"), F.col("ts").alias("at")))
+
+
+@query("""SELECT 'now' AS kind, count(*) AS n FROM members WHERE published_at >= TIMESTAMP '2001-09-01' UNION ALL SELECT 'all', count(*) FROM members WHERE published_at >= TIMESTAMP '2001-09-01' OR (published_at >= TIMESTAMP '2001-11-05' - INTERVAL 2400 HOURS
+  AND article_id NOT IN (SELECT article_id FROM members WHERE published_at >= TIMESTAMP '2001-09-01'))""", "members")
+def lookback_append(spark, d):
+    """Sizes of a batch without and with its lookback."""
+    m = S.members(spark, d)
+    cut = F.lit("2001-09-01").cast("timestamp_ntz")
+    batch, earlier = m.where(F.col("published_at") >= cut), m.where(F.col("published_at") < cut)
+    whole = serving.with_lookback(batch, earlier, "published_at", AS_OF, 2400)
+    return batch.agg(F.lit("now").alias("kind"), F.count("*").alias("n")).unionByName(whole.agg(F.lit("all").alias("kind"), F.count("*").alias("n")))
+
+
+@query("""SELECT doc_id AS article_id, CASE WHEN contains(lower(substring(text, 1, 200)), 'the') AND (contains(lower(text), 'killed')) THEN 55 ELSE 0 END::DOUBLE AS severity, length(CASE WHEN n_chars % 2 = 1 AND length(text) > 300 THEN concat(substring(text, 1, 297), '...') ELSE text END) AS kept_chars FROM documents""")
+def disaster_and_truncation(spark, d):
+    """Disaster severity of every document, and its length once stored."""
+    from newsloom.operators.feed import shortened
+    from newsloom.operators.scores import disaster_severity
+
+    docs = table(spark, d, "documents")
+    lead = F.concat(F.substring("text", 1, 200), F.when(F.contains(F.lower("text"), F.lit("killed")), " killed").otherwise(""))
+    return docs.select(F.col("doc_id").alias("article_id"), disaster_severity(lead, ["the"], ["killed"]).cast("double").alias("severity"), F.length(shortened(F.col("text"), F.col("n_chars") % 2 == 0)).alias("kept_chars"))
