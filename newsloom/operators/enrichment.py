@@ -38,7 +38,7 @@ def bias_summary(members: DataFrame) -> DataFrame:
         "sensationalism_spread": "ROUND(COALESCE(STDDEV(sensationalism), 0), 1)",
         "opinion_spread": "ROUND(COALESCE(STDDEV(opinion), 0), 1)",
         "lean_range": f"COALESCE(MAX(lean) FILTER (WHERE {measured}) - MIN(lean) FILTER (WHERE {measured}), MAX(lean) - MIN(lean))",
-        "aggregate_confidence": f"ROUND(GREATEST(0D, LEAST(1D, (0.7D * ({confident}) + 0.3D * LEAST(1D, COUNT(*) / 12D)) * (1D - LEAST(0.2D, GREATEST(0D, {spread}) / 100D)))), 4)",
+        "aggregate_confidence": f"ROUND(GREATEST(0D, LEAST(1D, (0.7D * ({confident}) + 0.3D * LEAST(1D, COUNT(*) / 12D)) * (1D - LEAST(0.2D, GREATEST(0D, {spread}) / 100D)))), 8)",
         "analyzed_count": "COUNT(*)",
         "lean_measured_count": f"COUNT(*) FILTER (WHERE {measured})",
         "lean_left_count": f"COUNT(*) FILTER (WHERE {measured} AND lean <= 45)",

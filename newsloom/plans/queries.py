@@ -41,7 +41,7 @@ SELECT cluster_id,
   round(coalesce(stddev_samp(sensationalism), 0), 1) AS sensationalism_spread, round(coalesce(stddev_samp(opinion), 0), 1) AS opinion_spread,
   coalesce(max(lean) {_M} - min(lean) {_M}, max(lean) - min(lean)) AS lean_range,
   round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.7::DOUBLE * (CASE WHEN sum(rigor) > 0 THEN sum(coalesce(confidence, 0.5::DOUBLE) * rigor) / sum(rigor) ELSE avg(coalesce(confidence, 0.5::DOUBLE)) END)
-    + 0.3::DOUBLE * least(1.0::DOUBLE, count(*) / 12.0::DOUBLE)) * (1.0::DOUBLE - least(0.2::DOUBLE, greatest(0.0::DOUBLE, {_SPREAD}) / 100.0::DOUBLE)))), 4) AS aggregate_confidence,
+    + 0.3::DOUBLE * least(1.0::DOUBLE, count(*) / 12.0::DOUBLE)) * (1.0::DOUBLE - least(0.2::DOUBLE, greatest(0.0::DOUBLE, {_SPREAD}) / 100.0::DOUBLE)))), 8) AS aggregate_confidence,
   count(*) AS analyzed_count, count(*) {_M} AS lean_measured_count,
   count(*) FILTER (WHERE NOT lean_unscored AND lean <= 45) AS lean_left_count,
   count(*) FILTER (WHERE NOT lean_unscored AND lean > 45 AND lean <= 55) AS lean_center_count,
