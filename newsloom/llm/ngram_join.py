@@ -304,7 +304,8 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, size: int = SHI
     blocks = materialise(blocks.join(sizes, ["leader", "band"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")), "blocks")
 
     wanted = blocks.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id"))
-    sets = docs.join(_broadcast_if_few(wanted.where("doc_id is not null")), "doc_id", "left_semi").mapInArrow(_token_sets(size), "cls long, tokens binary")
+    needed = docs.join(_broadcast_if_few(wanted.where("doc_id is not null")), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    sets = needed.mapInArrow(_token_sets(size), "cls long, tokens binary")
     sets = materialise(sets, "sets")
     # the leader takes part in each chunk of its block
     extra = blocks.where("chunks > 1 and cls = leader").select("leader", "band", "cls", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))

@@ -76,6 +76,12 @@ def test_ngram_rows_that_repeat(spark):
     assert sorted(r.doc_id for r in ngram_join.drop_near_duplicates(rows).collect()) == [2, 5]
 
 
+def test_ngram_links_through_a_row_without_id(spark):
+    chain = [" ".join(f"w{k}" for k in range(s, s + 60)) for s in (0, 5, 10)]
+    got = ngram_join.ngram_jaccard_components(docs(spark, chain, [4, None, 7])).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 4), (4, 4), (7, 4)]
+
+
 def brute_lines(texts, least=5):
     seen, want = [], {}
     for k, t in enumerate(texts):
