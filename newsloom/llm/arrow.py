@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy step takes at a time; bounds the memory of a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

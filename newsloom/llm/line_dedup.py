@@ -141,7 +141,7 @@ def _prefixes(least: int, percent: int, frequent, buckets: int):
 ENTRY = np.dtype([("cls", "<i8"), ("low", "<u8"), ("high", "<u8"), ("token", "<u4"), ("n", "<i4"), ("place", "<i4")])
 
 
-def candidate_pairs(entries: np.ndarray, percent: int, step: int = 2_000_000) -> Iterator[np.ndarray]:
+def candidate_pairs(entries: np.ndarray, percent: int, step: int = 500_000) -> Iterator[np.ndarray]:
     """Pairs (cls, cls) that share a prefix word and pass all filters; a pair can come more than once."""
     order = np.lexsort((entries["cls"], entries["n"], entries["token"]))
     token, cls = entries["token"][order], entries["cls"][order]
@@ -207,6 +207,20 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, percent: int, least: int) -> DataFrame:
+    """The `later` lines of `pairs` (later, earlier) that match, by their whole sets of words."""
+    pairs = materialise(pairs, "candidates")
+    ends = pairs.select(F.col("later").alias("cls")).union(pairs.select(F.col("earlier").alias("cls"))).distinct().join(first, "cls").select("cls", F.col("first.doc_id").alias("doc_id"))
+    ends = materialise(ends, "ends")
+    homes = _few(ends.select("doc_id").where("doc_id is not null").distinct())
+    sets = docs.join(homes, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).mapInArrow(_word_sets(least), "cls long, words array<long>")
+    sets = materialise(sets.join(ends.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words")), "sets")
+    left = pairs.join(sets.select(F.col("cls").alias("later"), F.col("words").alias("wa")), "later")
+    both = left.join(sets.select(F.col("cls").alias("earlier"), F.col("words").alias("wb")), "earlier")
+    common = F.size(F.array_intersect("wa", "wb"))
+    return both.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("later").distinct()
+
+
 def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5, frequent: int = FREQUENT) -> DataFrame:
     """Columns (doc_id, line): the lines of `docs` (doc_id, text) that repeat or nearly repeat an earlier one.
 
@@ -232,16 +246,16 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5, frequent:
     buckets = max(1, first.count() * 9 // BUCKET)
     entries = docs.mapInArrow(_prefixes(least, percent, listed, buckets), "bucket long, entries binary")
     pairs = materialise(entries.groupBy("bucket").applyInArrow(_join_bucket(percent), "a long, b long").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(first, "cls").select("cls", "first", F.col("first.doc_id").alias("doc_id"))
-    ends = materialise(ends, "ends")
-    homes = _few(ends.select("doc_id").where("doc_id is not null").distinct())
-    sets = docs.join(homes, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).mapInArrow(_word_sets(least), "cls long, words array<long>")
-    sets = materialise(sets.join(ends, "cls").groupBy("cls").agg(F.first("words").alias("words"), F.first("first").alias("first")), "sets")
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("words").alias("wa"), F.col("first").alias("fa")), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("words").alias("wb"), F.col("first").alias("fb")), "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    match = both.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common))
-    later = match.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("cls")).distinct()
+    # of each pair the later line, and the earlier one with its place
+    placed = first.select("cls", "first")
+    both = pairs.join(placed.select(F.col("cls").alias("a"), F.col("first").alias("fa")), "a").join(placed.select(F.col("cls").alias("b"), F.col("first").alias("fb")), "b")
+    swap = F.col("fa") > F.col("fb")
+    directed = materialise(both.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"), F.least("fa", "fb").alias("at")), "directed")
+    # a group of copies is settled by its earliest line; only lines that this leaves open meet the rest of their candidates
+    earliest = directed.groupBy("later").agg(F.min(F.struct("at", "earlier")).alias("e")).select("later", F.col("e.earlier").alias("earlier"))
+    near = materialise(_verified(docs, earliest, first, percent, least), "near")
+    rest = directed.select("later", "earlier").join(near, "later", "left_anti").join(earliest, ["later", "earlier"], "left_anti")
+    later = near.unionByName(_verified(docs, rest, first, percent, least)).select(F.col("later").alias("cls"))
     gone = first.join(later.withColumn("near", F.lit(True)), "cls", "left").where("copies > 1 or near").select("cls", F.col("first").alias("kept"), F.coalesce("near", F.lit(False)).alias("near"))
     found = lines.join(_few(gone), "cls").where(F.col("near") | (F.struct("doc_id", "line") != F.col("kept")))
     return found.select("doc_id", "line").distinct()

@@ -90,7 +90,7 @@ def load_tokenizer(path: str):
 class PieceCache(dict):
     """What is known of pre-tokens, at most `most` of them besides those of the slice at hand."""
 
-    def __init__(self, make: Callable[[list[str]], list], most: int = 400_000):
+    def __init__(self, make: Callable[[list[str]], list], most: int = 300_000):
         super().__init__()
         self.make, self.most = make, most
 
