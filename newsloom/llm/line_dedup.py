@@ -3,15 +3,19 @@
 A line's set holds its distinct words. Sets are ordered by rarity of their words; two sets of Jaccard
 similarity >= t share a word among the first n - ceil(t * n) + 1 of each (prefix filter). What meets at
 such a word is put to the length filter, the positional filter and, before the sets are fetched, to
-a bound from bit signatures; the rest is verified. All filters are exact: they lose no match.
+a bound from bit signatures; the rest is verified. All filters are exact: they lose no match. A line goes
+if any earlier line matches, so a group of near copies never becomes pairs: each line first meets its
+earliest candidates only, and further ones in rounds until each line has a match or no candidate left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,10 @@ BUCKET = 300_000
 COUNTED = 2_000_000
 #: Rows up to which a table of ids or of line numbers is broadcast; beyond, a shuffle join does it.
 BROADCAST_ROWS = 500_000
+#: Candidates of a line that a bucket hands on in the first round, and by how much a further round raises that.
+MOST, MORE = 4, 16
+#: Stands for a null doc_id, before all others.
+NO_ID = -(2**63)
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 _NEWLINE = 10
 
@@ -107,9 +115,12 @@ def _prefixes(least: int, percent: int, frequent, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = frequent.value
         for batch in text_slices(batches):
-            _, _, line, token, n, cls = _line_sets(batch)
+            text, number, line, token, n, cls = _line_sets(batch)
+            doc = pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)[text]
+            # of copies in the slice the earliest
+            order = np.lexsort((number, doc, cls))
             once = np.zeros(len(n), bool)
-            once[np.unique(cls, return_index=True)[1]] = True
+            once[order] = np.r_[True, cls[order][1:] != cls[order][:-1]][: len(n)]
             keep = (once & (n >= least))[line]
             line, token = line[keep], token[keep]
             rank = np.zeros(len(token), np.int64)
@@ -126,31 +137,40 @@ def _prefixes(least: int, percent: int, frequent, buckets: int):
             line, token, place = line[keep], token[keep], place[keep]
             entry = np.empty(len(line), ENTRY)
             entry["token"], entry["cls"], entry["n"], entry["place"] = token >> np.uint64(32), cls[line], n[line], place
-            entry["low"], entry["high"] = low[line], high[line]
+            entry["low"], entry["high"], entry["doc"], entry["line"] = low[line], high[line], doc[line], number[line]
             bucket = (mix(token ^ _SEED) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             entry, bucket = entry[order], bucket[order]
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-            packed = [x.tobytes() for x in np.split(entry, cut[1:])] if len(bucket) else []
+            packed = [_pack(x) for x in np.split(entry, cut[1:])] if len(bucket) else []
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(packed, pa.binary())], ["bucket", "entries"])
 
     return run
 
 
 #: A prefix entry; of the word's hash half is enough within a bucket: a clash only makes a candidate more.
-ENTRY = np.dtype([("cls", "<i8"), ("low", "<u8"), ("high", "<u8"), ("token", "<u4"), ("n", "<i4"), ("place", "<i4")])
+ENTRY = np.dtype([("cls", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("token", "<u4"), ("n", "<i4"), ("place", "<i4"), ("line", "<i4")])
+
+
+def _pack(entries: np.ndarray) -> bytes:
+    """Entries byte plane by byte plane: planes of small numbers compress to almost nothing."""
+    return entries.view(np.uint8).reshape(len(entries), -1).T.tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY)[:, 0]
 
 
 def candidate_pairs(entries: np.ndarray, percent: int, step: int = 500_000) -> Iterator[np.ndarray]:
-    """Pairs (cls, cls) that share a prefix word and pass all filters; a pair can come more than once."""
-    order = np.lexsort((entries["cls"], entries["n"], entries["token"]))
+    """Rows (later, doc, line, earlier) of classes that share a prefix word and pass all filters; doc and line are the
+    earlier one's place. A pair can come more than once."""
+    order = np.lexsort((entries["line"], entries["doc"], entries["cls"], entries["n"], entries["token"]))
     token, cls = entries["token"][order], entries["cls"][order]
-    fresh = np.ones(len(order), bool)  # copies from several tasks
+    fresh = np.ones(len(order), bool)  # of copies from several tasks the earliest
     fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
     order, token, cls = order[fresh], token[fresh], cls[fresh]
-    n, place, low, high = (entries[f][order] for f in ("n", "place", "low", "high"))
-    place = place.astype(np.int64)
-    n = n.astype(np.int64)
+    n, place, line = (entries[f][order].astype(np.int64) for f in ("n", "place", "line"))
+    low, high, doc = (entries[f][order] for f in ("low", "high", "doc"))
     cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     ends = np.repeat(np.r_[cut[1:], len(token)], np.diff(np.r_[cut, len(token)]))
     # length filter: partners after an entry, of the same word, up to 100 / percent of its size
@@ -173,16 +193,35 @@ def candidate_pairs(entries: np.ndarray, percent: int, step: int = 500_000) -> I
         ok &= (apart <= n[a] + n[b] - 2 * need) & (cls[a] != cls[b])
         a, b = a[ok], b[ok]
         if len(a):
-            yield np.unique(np.column_stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])]), axis=0)
+            swap = (doc[a] > doc[b]) | (doc[a] == doc[b]) & ((line[a] > line[b]) | (line[a] == line[b]) & (cls[a] > cls[b]))
+            later, earlier = np.where(swap, a, b), np.where(swap, b, a)
+            yield np.column_stack([cls[later], doc[earlier], line[earlier], cls[earlier]])
         start = stop
 
 
-def _join_bucket(percent: int):
+def _earliest(pairs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (later, doc, line, earlier) the `most` earliest of each later one, and the places of rows among them."""
+    pairs = pairs[np.lexsort(pairs.T[::-1])]
+    pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)][: len(pairs)]]
+    first = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]][: len(pairs)])
+    place = np.arange(len(pairs)) - np.repeat(first, np.diff(np.r_[first, len(pairs)]))
+    return pairs[place < most], place[place < most]
+
+
+def _join_bucket(percent: int, most: int, only):
+    """(later, earlier, doc, line, more) of a bucket: the `most` earliest candidates of each line, and whether it has more."""
+
     def run(table: pa.Table) -> pa.Table:
-        entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
-        found = [*candidate_pairs(entries, percent)]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        entries = np.concatenate([_unpack(x) for x in table.column("entries").to_pylist()])
+        found = np.zeros((0, 4), np.int64)
+        for pairs in candidate_pairs(entries, percent):
+            if only is not None:
+                pairs = pairs[np.isin(pairs[:, 0], only.value)]
+            found = _earliest(np.concatenate([found, pairs]), most + 1)[0]
+        found, place = _earliest(found, most + 1)
+        over = np.isin(found[:, 0], found[place == most, 0])[place < most]
+        found = found[place < most]
+        return pa.table({"later": found[:, 0], "earlier": found[:, 3], "doc": found[:, 1], "line": found[:, 2], "more": over})
 
     return run
 
@@ -245,17 +284,26 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5, frequent:
     # about nine prefix entries a line
     buckets = max(1, first.count() * 9 // BUCKET)
     entries = docs.mapInArrow(_prefixes(least, percent, listed, buckets), "bucket long, entries binary")
-    pairs = materialise(entries.groupBy("bucket").applyInArrow(_join_bucket(percent), "a long, b long").distinct(), "pairs")
-    # of each pair the later line, and the earlier one with its place
-    placed = first.select("cls", "first")
-    both = pairs.join(placed.select(F.col("cls").alias("a"), F.col("first").alias("fa")), "a").join(placed.select(F.col("cls").alias("b"), F.col("first").alias("fb")), "b")
-    swap = F.col("fa") > F.col("fb")
-    directed = materialise(both.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"), F.least("fa", "fb").alias("at")), "directed")
-    # a group of copies is settled by its earliest line; only lines that this leaves open meet the rest of their candidates
-    earliest = directed.groupBy("later").agg(F.min(F.struct("at", "earlier")).alias("e")).select("later", F.col("e.earlier").alias("earlier"))
-    near = materialise(_verified(docs, earliest, first, percent, least), "near")
-    rest = directed.select("later", "earlier").join(near, "later", "left_anti").join(earliest, ["later", "earlier"], "left_anti")
-    later = near.unionByName(_verified(docs, rest, first, percent, least)).select(F.col("later").alias("cls"))
+    # a line is settled by its earliest candidates; only lines that these leave open meet more of them, round by round
+    near, most, only = [], MOST, None
+    while True:
+        met = entries.groupBy("bucket").applyInArrow(_join_bucket(percent, most, only), "later long, earlier long, doc long, line long, more boolean")
+        pairs = materialise(met.groupBy("later", "earlier").agg(F.min(F.struct("doc", "line")).alias("at"), F.max("more").alias("more")), "pairs")
+        earliest = pairs.groupBy("later").agg(F.min(F.struct("at", "earlier")).alias("e")).select("later", F.col("e.earlier").alias("earlier"))
+        near.append(materialise(_verified(docs, earliest, first, percent, least), "near"))
+        rest = pairs.select("later", "earlier").join(near[-1], "later", "left_anti").join(earliest, ["later", "earlier"], "left_anti")
+        near.append(materialise(_verified(docs, rest, first, percent, least), "near"))
+        left = pairs.where("more").select("later").distinct()
+        for settled in near:
+            left = left.join(settled, "later", "left_anti")
+        left = materialise(left, "left")
+        n_left = left.count()
+        if not n_left:
+            break
+        # bounded: at most BROADCAST_ROWS ids; with more of them open, every line takes part again
+        only = spark.sparkContext.broadcast(left.toPandas()["later"].to_numpy(np.int64)) if n_left <= BROADCAST_ROWS else None
+        most *= MORE
+    later = reduce(DataFrame.unionByName, near).distinct().select(F.col("later").alias("cls"))
     gone = first.join(later.withColumn("near", F.lit(True)), "cls", "left").where("copies > 1 or near").select("cls", F.col("first").alias("kept"), F.coalesce("near", F.lit(False)).alias("near"))
     found = lines.join(_few(gone), "cls").where(F.col("near") | (F.struct("doc_id", "line") != F.col("kept")))
     return found.select("doc_id", "line").distinct()

@@ -96,7 +96,10 @@ def brute_lines(texts, least=5):
     return want
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize(("most", "more"), [(4, 16), (1, 2)])
+def test_line_dedup(spark, monkeypatch, most, more):
+    monkeypatch.setattr(line_dedup, "MOST", most)
+    monkeypatch.setattr(line_dedup, "MORE", more)
     rng = random.Random(4)
     vocabulary = [f"v{int(rng.paretovariate(0.7))}" for _ in range(3000)]
     lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 30))) for _ in range(120)]
