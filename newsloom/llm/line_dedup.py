@@ -32,7 +32,7 @@ COUNTED = 2_000_000
 #: Rows up to which a table of ids or of line numbers is broadcast; beyond, a shuffle join does it.
 BROADCAST_ROWS = 500_000
 #: Candidates of a line that a bucket hands on in the first round, and by how much a further round raises that.
-MOST, MORE = 4, 16
+MOST, MORE = 16, 1024
 #: Stands for a null doc_id, before all others.
 NO_ID = -(2**63)
 _SEED = np.uint64(0xD6E8FEB86659FD93)
