@@ -64,24 +64,24 @@ def _line_sets(batch: pa.RecordBatch):
 
 
 def _survey(least: int):
-    """(doc_id, line, cls) of each line that takes part, and (token, seen) of words that many lines nearby have."""
+    """(doc_id, part, line, cls) of each line that takes part, and (token, seen) of words that many lines nearby have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heap: list[np.ndarray] = []
         held = 0
-        names = ["doc_id", "line", "cls", "token", "seen"]
+        names = ["doc_id", "part", "line", "cls", "token", "seen"]
 
         def counted() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(heap), return_counts=True)
             often = counts >= 4
             none = pa.nulls(int(often.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(values[often].view(np.int64)), pa.array(counts[often])], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values[often].view(np.int64)), pa.array(counts[often])], names)
 
         for batch in text_slices(batches):
             text, number, line, token, n, cls = _line_sets(batch)
             use = np.flatnonzero(n >= least)
             none = pa.nulls(len(use), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text[use])), pa.array(number[use]), pa.array(cls[use]), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text[use])), batch.column("part").take(pa.array(text[use])), pa.array(number[use]), pa.array(cls[use]), none, none], names)
             once = np.zeros(len(n), bool)
             once[np.unique(cls, return_index=True)[1]] = True
             heap.append(token[(once & (n >= least))[line]])
@@ -117,8 +117,9 @@ def _prefixes(least: int, percent: int, frequent, buckets: int):
         for batch in text_slices(batches):
             text, number, line, token, n, cls = _line_sets(batch)
             doc = pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)[text]
+            part = batch.column("part").to_numpy(zero_copy_only=False)[text]
             # of copies in the slice the earliest
-            order = np.lexsort((number, doc, cls))
+            order = np.lexsort((number, part, doc, cls))
             once = np.zeros(len(n), bool)
             once[order] = np.r_[True, cls[order][1:] != cls[order][:-1]][: len(n)]
             keep = (once & (n >= least))[line]
@@ -137,7 +138,7 @@ def _prefixes(least: int, percent: int, frequent, buckets: int):
             line, token, place = line[keep], token[keep], place[keep]
             entry = np.empty(len(line), ENTRY)
             entry["token"], entry["cls"], entry["n"], entry["place"] = token >> np.uint64(32), cls[line], n[line], place
-            entry["low"], entry["high"], entry["doc"], entry["line"] = low[line], high[line], doc[line], number[line]
+            entry["low"], entry["high"], entry["doc"], entry["part"], entry["line"] = low[line], high[line], doc[line], part[line], number[line]
             bucket = (mix(token ^ _SEED) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             entry, bucket = entry[order], bucket[order]
@@ -149,7 +150,7 @@ def _prefixes(least: int, percent: int, frequent, buckets: int):
 
 
 #: A prefix entry; of the word's hash half is enough within a bucket: a clash only makes a candidate more.
-ENTRY = np.dtype([("cls", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("token", "<u4"), ("n", "<i4"), ("place", "<i4"), ("line", "<i4")])
+ENTRY = np.dtype([("cls", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("part", "<i8"), ("token", "<u4"), ("n", "<i4"), ("place", "<i4"), ("line", "<i4")])
 
 
 def _pack(entries: np.ndarray) -> bytes:
@@ -162,15 +163,15 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def candidate_pairs(entries: np.ndarray, percent: int, step: int = 500_000) -> Iterator[np.ndarray]:
-    """Rows (later, doc, line, earlier) of classes that share a prefix word and pass all filters; doc and line are the
-    earlier one's place. A pair can come more than once."""
-    order = np.lexsort((entries["line"], entries["doc"], entries["cls"], entries["n"], entries["token"]))
+    """Rows (later, doc, part, line, earlier) of classes that share a prefix word and pass all filters; doc, part and line
+    are the earlier one's place. A pair can come more than once."""
+    order = np.lexsort((entries["line"], entries["part"], entries["doc"], entries["cls"], entries["n"], entries["token"]))
     token, cls = entries["token"][order], entries["cls"][order]
     fresh = np.ones(len(order), bool)  # of copies from several tasks the earliest
     fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
     order, token, cls = order[fresh], token[fresh], cls[fresh]
     n, place, line = (entries[f][order].astype(np.int64) for f in ("n", "place", "line"))
-    low, high, doc = (entries[f][order] for f in ("low", "high", "doc"))
+    low, high, doc, part = (entries[f][order] for f in ("low", "high", "doc", "part"))
     cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     ends = np.repeat(np.r_[cut[1:], len(token)], np.diff(np.r_[cut, len(token)]))
     # length filter: partners after an entry, of the same word, up to 100 / percent of its size
@@ -193,14 +194,16 @@ def candidate_pairs(entries: np.ndarray, percent: int, step: int = 500_000) -> I
         ok &= (apart <= n[a] + n[b] - 2 * need) & (cls[a] != cls[b])
         a, b = a[ok], b[ok]
         if len(a):
-            swap = (doc[a] > doc[b]) | (doc[a] == doc[b]) & ((line[a] > line[b]) | (line[a] == line[b]) & (cls[a] > cls[b]))
+            swap = (line[a] > line[b]) | (line[a] == line[b]) & (cls[a] > cls[b])
+            swap = (part[a] > part[b]) | (part[a] == part[b]) & swap
+            swap = (doc[a] > doc[b]) | (doc[a] == doc[b]) & swap
             later, earlier = np.where(swap, a, b), np.where(swap, b, a)
-            yield np.column_stack([cls[later], doc[earlier], line[earlier], cls[earlier]])
+            yield np.column_stack([cls[later], doc[earlier], part[earlier], line[earlier], cls[earlier]])
         start = stop
 
 
 def _earliest(pairs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows (later, doc, line, earlier) the `most` earliest of each later one, and the places of rows among them."""
+    """Of rows (later, doc, part, line, earlier) the `most` earliest of each later one, and the places of rows among them."""
     pairs = pairs[np.lexsort(pairs.T[::-1])]
     pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)][: len(pairs)]]
     first = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]][: len(pairs)])
@@ -209,11 +212,11 @@ def _earliest(pairs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _join_bucket(percent: int, most: int, only):
-    """(later, earlier, doc, line, more) of a bucket: the `most` earliest candidates of each line, and whether it has more."""
+    """(later, earlier, doc, part, line, more) of a bucket: the `most` earliest candidates of each line, and whether it has more."""
 
     def run(table: pa.Table) -> pa.Table:
         entries = np.concatenate([_unpack(x) for x in table.column("entries").to_pylist()])
-        found = np.zeros((0, 4), np.int64)
+        found = np.zeros((0, 5), np.int64)
         for pairs in candidate_pairs(entries, percent):
             if only is not None:
                 pairs = pairs[np.isin(pairs[:, 0], only.value)]
@@ -221,7 +224,7 @@ def _join_bucket(percent: int, most: int, only):
         found, place = _earliest(found, most + 1)
         over = np.isin(found[:, 0], found[place == most, 0])[place < most]
         found = found[place < most]
-        return pa.table({"later": found[:, 0], "earlier": found[:, 3], "doc": found[:, 1], "line": found[:, 2], "more": over})
+        return pa.table({"later": found[:, 0], "earlier": found[:, 4], "doc": found[:, 1], "part": found[:, 2], "line": found[:, 3], "more": over})
 
     return run
 
@@ -260,21 +263,36 @@ def _verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, percent: int,
     return both.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("later").distinct()
 
 
+def row_parts(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id long, text, any other columns) with `part`: 0, or a hash of the text where doc_id is null or repeats.
+
+    (doc_id, part) names a row, but for rows of equal id and text.
+    """
+    repeated = _few(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("repeats")))
+    return docs.join(repeated, "doc_id", "left").withColumn("part", F.when(F.col("doc_id").isNull() | F.col("repeats"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("repeats")
+
+
 def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5, frequent: int = FREQUENT) -> DataFrame:
-    """Columns (doc_id, line): the lines of `docs` (doc_id, text) that repeat or nearly repeat an earlier one.
+    """Columns (doc_id, part, line): the lines of `docs` (doc_id, text) that repeat or nearly repeat an earlier one.
 
-    Lines are separated by newlines and numbered from 0; earlier is a smaller (doc_id, line), null ids first.
+    Lines are separated by newlines and numbered from 0; earlier is a smaller (doc_id, part, line), null ids first.
+    `part` is that of row_parts: it tells rows without an id, or with the same one, apart by their text.
     A line is removed if 100 * common >= percent * all for its distinct words (runs without white space, A-Z in
     lower case) and those of any earlier line, be that removed itself or not. Lines of fewer than `least`
-    distinct words take no part: they are never removed. Rows that repeat a doc_id count as one document.
+    distinct words take no part: they are never removed. Rows of equal doc_id and text count as one document.
     Null and empty texts have no lines that take part; an empty table gives an empty result; further
     columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = materialise(docs.mapInArrow(_survey(least), "doc_id long, line long, cls long, token long, seen long"), "lines")
-    lines = survey.where("cls is not null").select("doc_id", "line", "cls")
-    first = materialise(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies")), "classes")
+    return _repeated(row_parts(docs), percent, least, frequent)
+
+
+def _repeated(docs: DataFrame, percent: int, least: int, frequent: int = FREQUENT) -> DataFrame:
+    """repeated_lines of `docs` (doc_id, text, part)."""
+    spark = docs.sparkSession
+    survey = materialise(docs.mapInArrow(_survey(least), "doc_id long, part long, line long, cls long, token long, seen long"), "lines")
+    lines = survey.where("cls is not null").select("doc_id", "part", "line", "cls")
+    first = materialise(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "part", "line")).alias("first"), F.count("*").alias("copies")), "classes")
     # bounded: at most `frequent` rows reach the driver; words by falling frequency
     often = survey.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(frequent).toPandas()
     values = often["token"].to_numpy(np.int64).view(np.uint64)
@@ -287,8 +305,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5, frequent:
     # a line is settled by its earliest candidates; only lines that these leave open meet more of them, round by round
     near, most, only = [], MOST, None
     while True:
-        met = entries.groupBy("bucket").applyInArrow(_join_bucket(percent, most, only), "later long, earlier long, doc long, line long, more boolean")
-        pairs = materialise(met.groupBy("later", "earlier").agg(F.min(F.struct("doc", "line")).alias("at"), F.max("more").alias("more")), "pairs")
+        met = entries.groupBy("bucket").applyInArrow(_join_bucket(percent, most, only), "later long, earlier long, doc long, part long, line long, more boolean")
+        pairs = materialise(met.groupBy("later", "earlier").agg(F.min(F.struct("doc", "part", "line")).alias("at"), F.max("more").alias("more")), "pairs")
         earliest = pairs.groupBy("later").agg(F.min(F.struct("at", "earlier")).alias("e")).select("later", F.col("e.earlier").alias("earlier"))
         near.append(materialise(_verified(docs, earliest, first, percent, least), "near"))
         rest = pairs.select("later", "earlier").join(near[-1], "later", "left_anti").join(earliest, ["later", "earlier"], "left_anti")
@@ -305,15 +323,15 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5, frequent:
         most *= MORE
     later = reduce(DataFrame.unionByName, near).distinct().select(F.col("later").alias("cls"))
     gone = first.join(later.withColumn("near", F.lit(True)), "cls", "left").where("copies > 1 or near").select("cls", F.col("first").alias("kept"), F.coalesce("near", F.lit(False)).alias("near"))
-    found = lines.join(_few(gone), "cls").where(F.col("near") | (F.struct("doc_id", "line") != F.col("kept")))
-    return found.select("doc_id", "line").distinct()
+    found = lines.join(_few(gone), "cls").where(F.col("near") | (F.struct("doc_id", "part", "line") != F.col("kept")))
+    return found.select("doc_id", "part", "line").distinct()
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         texts, left = [], []
         for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-            if gone:
+            if gone and text is not None:
                 drop = set(gone)
                 lines = [x for k, x in enumerate(text.split("\n")) if k not in drop]
                 text = "\n".join(lines)
@@ -334,8 +352,10 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, keep: tuple[
     """
     kept = [c for c in keep if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"kept_{c}") for c in kept), F.col("text").cast("string").alias("text"))
-    gone = repeated_lines(docs, percent, least).groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("gone"))
-    joined = rows.join(_few(gone.withColumnRenamed("doc_id", "of")), F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
+    rows = row_parts(rows)
+    gone = _repeated(rows.select("doc_id", "text", "part"), percent, least).groupBy("doc_id", "part").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    gone = _few(gone.withColumnRenamed("doc_id", "of").withColumnRenamed("part", "of_part"))
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")), "left").drop("of", "part", "of_part")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields)
     out = joined.mapInArrow(_strip, f"{fields}, n_kept long")
     return out.select("doc_id", *(F.col(f"kept_{c}").alias(c) for c in kept), "text", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), "n_kept")

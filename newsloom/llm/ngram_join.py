@@ -338,11 +338,20 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, size: int = SHI
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
     """One row of `docs` (doc_id, text, any other columns) for each component of ngram_jaccard_components: the least doc_id's.
 
-    Rows with null doc_id stay. Of rows that repeat a doc_id one stays.
+    Rows with null doc_id stay. Of rows of equal doc_id and text one stays; an id over different texts names a document for each.
     """
-    found = ngram_jaccard_components(docs, percent, size)
-    gone = _broadcast_if_few(found.where("component_id <> doc_id").select("doc_id").distinct())
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    repeated = _broadcast_if_few(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not repeated.limit(1).count():
+        found = ngram_jaccard_components(docs, percent, size)
+        gone = _broadcast_if_few(found.where("component_id <> doc_id").select("doc_id").distinct())
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # a document of a repeated id goes by a hash of id and text
+    named = docs.join(repeated.withColumn("_repeats", F.lit(True)), "doc_id", "left").withColumn("_key", F.when(F.col("_repeats"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
+    found = ngram_jaccard_components(named.select(F.col("_key").alias("doc_id"), "text"), percent, size)
+    ids = named.where("_key is not null").select("_key", "doc_id").distinct()
+    member = found.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(ids, "_key")
+    least = member.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("least"))
+    gone = _broadcast_if_few(member.join(least, "component_id").where("_key <> least._key").select("_key").distinct())
+    left = named.join(gone, "_key", "left_anti")
+    left = left.where("_key is not null").dropDuplicates(["_key"]).unionByName(left.where("_key is null")).select(docs.columns)
     return left

@@ -119,6 +119,21 @@ def test_line_dedup(spark, monkeypatch, most, more):
         assert r.text == (None if texts[r.doc_id] is None else "\n".join(x for k, x in enumerate(texts[r.doc_id].split("\n")) if k not in gone))
 
 
+def test_lines_of_rows_without_a_unique_id(spark):
+    rows = [(None, None), (None, "a b c d e\nown f g h i"), (None, "j k l m n\na b c d e"), (3, "o p q r s\nt u v w x"), (3, "y z aa bb cc\no p q r s"), (4, "a b c d e"), (4, "a b c d e")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = [line for r in got for line in (r.text or "").split("\n")]
+    assert len(got) == len(rows) and sum(r.text is None for r in got) == 1
+    assert sorted(x for x in left if x) == sorted(["a b c d e", "own f g h i", "j k l m n", "o p q r s", "t u v w x", "y z aa bb cc"])
+    assert sorted((r.doc_id, r.n_removed) for r in got if r.doc_id) == [(3, 0), (3, 1), (4, 1), (4, 1)]
+
+
+def test_near_duplicates_of_an_id_over_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = spark.createDataFrame([(5, a), (5, b), (5, b), (9, a), (2, c), (None, c)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in ngram_join.drop_near_duplicates(rows).collect()) == [(0, c), (2, c), (5, a), (5, b)]
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 16)).astype(np.float32)
