@@ -33,12 +33,11 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9
 MAX_CHARS_PER_TOKEN = 2.1
 #: Bits per character from which it does.
 MIN_ENTROPY = 3.5
-# Known digests and identifiers, which are no secrets: hexadecimal digests, UUIDs, digits with separators, words and paths.
+# Known digests and identifiers, which are no secrets: hexadecimal digests, UUIDs, digests after their name.
 KNOWN = re.compile(
     r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
     r"|sha(?:1|256|384|512)[-=][A-Za-z0-9+/]+={0,2}"
-    r"|[0-9+/_=-]+|[A-Za-z]+\d{0,4}(?:[/_+=-]+[A-Za-z]+\d{0,4})*[/_+=-]*"
 )
 
 
@@ -64,13 +63,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, encoding, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates outside `taken` that pass the token-efficiency test."""
+    """Candidates that pass the token-efficiency test and that no span of `taken` holds whole."""
     found = []
     for m in CANDIDATE.finditer(text):
         run, start, end = m[0], m.start(), m.end()
-        if any(s < end and start < e for s, _, e in taken):
+        if any(s <= start and end <= e for s, _, e in taken):
             continue
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or KNOWN.fullmatch(run):
+        if KNOWN.fullmatch(run):
             continue
         bits = -sum(n / len(run) * math.log2(n / len(run)) for n in Counter(run).values())
         if bits >= MIN_ENTROPY and len(run) < MAX_CHARS_PER_TOKEN * len(encoding.encode_ordinary(run)):
@@ -97,8 +96,8 @@ def find_secrets(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]
     """`docs` (doc_id, text) with the columns `keep` and spans array<struct<kind, start, end>>, by start and then kind.
 
     Positions are code points, the end exclusive. Kinds: assign, access, hex (fixed patterns), random
-    (token-efficiency test under the tiktoken file `path` and its split `pattern`; never overlaps the
-    others). Null and empty texts have no spans. Repeated rows stay, a null doc_id stays null, an empty
+    (token-efficiency test under the tiktoken file `path` and its split `pattern`; never within one of the
+    others, but it can reach beyond one). Null and empty texts have no spans. Repeated rows stay, a null doc_id stays null, an empty
     table gives an empty result; columns other than doc_id, text and `keep` are dropped.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in keep if c not in ("doc_id", "text")))

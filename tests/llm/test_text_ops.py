@@ -109,6 +109,20 @@ def test_secrets(spark):
     assert shown[0] == '[SECRET]"' and shown[9] == "[SECRET] plain" and shown[8] == "é [SECRET]'" and shown[12] is None and shown[11] == SECRETS[11]
 
 
+def test_random_runs_of_any_form():
+    encoding = secrets_scan._encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+    def found(text):
+        return [text[a:b] for a, _, b in secrets_scan.random_spans(text, encoding, secrets_scan.base_spans(text))]
+
+    letters = "qXzKvJwPbGtYhRmLdNfCsTxQkZjWvBpHgMrLnDcF"
+    mixed = "Zq7Xv0Kp" + "0123456789abcdef" + "WjT9mQx2LbR"
+    for key in (letters, letters[:36] + "1234", letters[:20] + "_" + letters[20:], mixed):
+        assert found(f"key {key} end") == [key]
+    for plain in ("some_long_identifier_name_of_words", "path/to/another/folder/of/words", "d41d8cd98f00b204e9800998ecf8427e", "D41D8CD98F00B204E9800998ECF8427E", "550e8400-e29b-41d4-a716-446655440000", "-" * 40, "123456789012345678901234567890"):
+        assert found(plain) == []
+
+
 def test_media_round_trip(spark, texts):
     more = [*texts, "a" * 576, "b" * 577, "x" * 20_000 + "Ä" * 9_000]
     for r in avi_media.decode_avi(avi_media.encode_avi(docs(spark, more))).collect():
