@@ -179,6 +179,8 @@ def candidate_pairs(entries: np.ndarray, percent: int, step: int = 500_000) -> I
     width = int(n.max()) + 2
     last = np.searchsorted(group * width + n, group * width + np.minimum(n * 100 // percent, width - 1), side="right")
     partners = np.minimum(last, ends) - np.arange(len(token)) - 1
+    # the first common word leaves `need` words from it on in both sets, and the need is least for partners of equal size
+    partners[place > n - (2 * percent * n + 99 + percent) // (100 + percent)] = 0
     total = np.cumsum(partners)
     start = 0
     while start < len(token):
@@ -189,6 +191,7 @@ def candidate_pairs(entries: np.ndarray, percent: int, step: int = 500_000) -> I
         need = (percent * (n[a] + n[b]) + 99 + percent) // (100 + percent)  # least intersection
         # positional filter: this word is the first in common, or the pair passes at the first one
         ok = 1 + np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b]) - 1 >= need
+        ok &= (place[a] <= n[a] - need) & (place[b] <= n[b] - need)
         # signatures: differing bits are words that only one has
         apart = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
         ok &= (apart <= n[a] + n[b] - 2 * need) & (cls[a] != cls[b])

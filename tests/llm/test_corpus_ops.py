@@ -128,6 +128,15 @@ def test_lines_of_rows_without_a_unique_id(spark):
     assert sorted((r.doc_id, r.n_removed) for r in got if r.doc_id) == [(3, 0), (3, 1), (4, 1), (4, 1)]
 
 
+def test_a_template_word_after_the_rarest_one_makes_no_pairs():
+    entries = np.zeros(300, line_dedup.ENTRY)
+    entries["cls"] = entries["doc"] = np.arange(300)
+    entries["n"], entries["place"] = 5, 1  # five words match only if equal, so the rarest must be in common
+    assert not list(line_dedup.candidate_pairs(entries, 80))
+    entries["place"] = 0
+    assert sum(map(len, line_dedup.candidate_pairs(entries, 80))) == 300 * 299 // 2
+
+
 def test_near_duplicates_of_an_id_over_two_texts(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = spark.createDataFrame([(5, a), (5, b), (5, b), (9, a), (2, c), (None, c)], "doc_id long, text string")
