@@ -6,6 +6,8 @@ found from the separator bytes, and a word's hash is a difference of wrapped pre
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -28,15 +30,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[32, *range(9, 14)]] = True
+_BYTE_LOWER = _BYTE.copy()
+_BYTE_LOWER[65:91] = _BYTE[97:123]
+_INSIDE = np.ones(256, bool)
+_INSIDE[[32, *range(9, 14)]] = False
 # the inverse of _ODD modulo 2**64
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
+#: Length of the tables of powers that a worker keeps; a longer text has tables of its own.
+_KEPT = (1 << 20) + 1
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return _kept_powers(base)[:n] if n <= _KEPT else _new_powers(base, n)
+
+
+@functools.cache
+def _kept_powers(base: np.uint64) -> np.ndarray:
+    return _new_powers(base, _KEPT)
+
+
+def _new_powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
         out[0] = 1
@@ -62,7 +77,7 @@ def word_hashes(buffer: np.ndarray, bounds: np.ndarray, lower: bool = True) -> t
     """
     n = len(buffer)
     inside = np.zeros(n + 1, bool)
-    inside[:n] = ~_SEPARATOR[buffer]
+    np.take(_INSIDE, buffer, out=inside[:n], mode="clip")
     first = np.zeros(n + 1, bool)  # where a text begins a word cannot go on
     first[bounds[:-1]] = True
     starts = inside.copy()
@@ -71,10 +86,10 @@ def word_hashes(buffer: np.ndarray, bounds: np.ndarray, lower: bool = True) -> t
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | first[1:]
     ends = np.flatnonzero(ends) + 1
-    terms = _BYTE[_LOWER[buffer]] if lower else _BYTE[buffer]
-    terms *= _powers(_ODD, n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(terms, out=sums[1:])
+    np.take(_BYTE_LOWER if lower else _BYTE, buffer, out=sums[1:], mode="clip")
+    sums[1:] *= _powers(_ODD, n)
+    np.cumsum(sums[1:], out=sums[1:])
     back = _powers(_INVERSE, n + 1)
     hashes = mix((sums[ends] - sums[starts]) * back[starts])
     return hashes, np.searchsorted(starts, bounds)

@@ -5,7 +5,8 @@ similarity >= t share a word among the first n - ceil(t * n) + 1 of each (prefix
 such a word is put to the length filter, the positional filter and, before the sets are fetched, to
 a bound from bit signatures; the rest is verified. All filters are exact: they lose no match. A line goes
 if any earlier line matches, so a group of near copies never becomes pairs: each line first meets its
-earliest candidates only, and further ones in rounds until each line has a match or no candidate left.
+earliest candidates only. The few lines that these leave open are sent to all tasks and verified against
+every earlier line that shares a prefix word; beyond a bound of them, they meet further candidates in rounds.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ FREQUENT = 262_144
 BUCKET = 300_000
 #: Word occurrences counted together for the list of frequent words.
 COUNTED = 2_000_000
-#: Rows up to which a table of ids or of line numbers is broadcast; beyond, a shuffle join does it.
-BROADCAST_ROWS = 500_000
+#: Rows, and numbers in their arrays, up to which a table of ids or of line numbers is broadcast; beyond, a shuffle join does it.
+BROADCAST_ROWS, BROADCAST_NUMBERS = 500_000, 4_000_000
+#: Open lines, and words in them, up to which they are sent to all tasks; beyond, they meet further candidates in rounds.
+OPEN_LINES, OPEN_WORDS = 20_000, 2_000_000
 #: Candidates of a line that a bucket hands on in the first round, and by how much a further round raises that.
 MOST, MORE = 16, 1024
 #: Stands for a null doc_id, before all others.
@@ -109,6 +112,14 @@ def _signatures(line: np.ndarray, token: np.ndarray, lines: int) -> tuple[np.nda
     return out[0], out[1]
 
 
+def _ranks(token: np.ndarray, values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Place of each word in the list of frequent ones, the most frequent last; 0 for the rest."""
+    if not len(values):
+        return np.zeros(len(token), np.int64)
+    at = np.minimum(np.searchsorted(values, token), len(values) - 1)
+    return np.where(values[at] == token, ranks[at], 0)
+
+
 def _prefixes(least: int, percent: int, frequent, buckets: int):
     """(bucket, entries): packed prefix entries of each distinct line of a slice, by bucket of the word."""
 
@@ -122,12 +133,10 @@ def _prefixes(least: int, percent: int, frequent, buckets: int):
             order = np.lexsort((number, part, doc, cls))
             once = np.zeros(len(n), bool)
             once[order] = np.r_[True, cls[order][1:] != cls[order][:-1]][: len(n)]
-            keep = (once & (n >= least))[line]
+            # a set so small that one word more is too much matches equal ones only
+            keep = (once & (n >= least) & (100 * n >= percent * (n + 1)))[line]
             line, token = line[keep], token[keep]
-            rank = np.zeros(len(token), np.int64)
-            if len(values):
-                at = np.minimum(np.searchsorted(values, token), len(values) - 1)
-                rank = np.where(values[at] == token, ranks[at], 0)
+            rank = _ranks(token, values, ranks)
             low, high = _signatures(line, token, len(n))
             # by line, then rarest first; within a rank the words stay in the order of their hashes
             order = np.argsort(line * (len(values) + 2) + rank, kind="stable")
@@ -246,26 +255,93 @@ def _word_sets(least: int):
     return run
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """`rows` written out, and to be broadcast in a join only if there are few."""
+def _few(rows: DataFrame, array: str | None = None) -> DataFrame:
+    """`rows` written out, and to be broadcast in a join only if they are few, with few numbers in column `array`."""
     rows = materialise(rows, "few")
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    n, numbers = rows.agg(F.count("*"), F.sum(F.size(array)) if array else F.lit(0)).first()
+    return F.broadcast(rows) if n <= BROADCAST_ROWS and (numbers or 0) <= BROADCAST_NUMBERS else rows
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, first: DataFrame, least: int) -> DataFrame:
+    """(cls, words) of `classes` (cls), read from the documents where they stand first."""
+    ends = materialise(classes.join(first, "cls").select("cls", F.col("first.doc_id").alias("doc_id")), "ends")
+    homes = _few(ends.select("doc_id").where("doc_id is not null").distinct())
+    sets = docs.join(homes, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).mapInArrow(_word_sets(least), "cls long, words array<long>")
+    return materialise(sets.join(ends.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words")), "sets")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, first: DataFrame, percent: int, least: int) -> DataFrame:
     """The `later` lines of `pairs` (later, earlier) that match, by their whole sets of words."""
     pairs = materialise(pairs, "candidates")
-    ends = pairs.select(F.col("later").alias("cls")).union(pairs.select(F.col("earlier").alias("cls"))).distinct().join(first, "cls").select("cls", F.col("first.doc_id").alias("doc_id"))
-    ends = materialise(ends, "ends")
-    homes = _few(ends.select("doc_id").where("doc_id is not null").distinct())
-    sets = docs.join(homes, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).mapInArrow(_word_sets(least), "cls long, words array<long>")
-    sets = materialise(sets.join(ends.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words")), "sets")
+    ends = pairs.select(F.col("later").alias("cls")).union(pairs.select(F.col("earlier").alias("cls"))).distinct()
+    sets = _sets_of(docs, ends, first, least)
     left = pairs.join(sets.select(F.col("cls").alias("later"), F.col("words").alias("wa")), "later")
     both = left.join(sets.select(F.col("cls").alias("earlier"), F.col("words").alias("wb")), "earlier")
     common = F.size(F.array_intersect("wa", "wb"))
     return both.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("later").distinct()
 
 
+class _Open:
+    """Open lines: where each stands first, its words, and its prefix words with the lines that have them."""
+
+    def __init__(self, lines, percent: int, values: np.ndarray, ranks: np.ndarray):
+        self.place = lines[["doc", "part", "line"]].to_numpy(np.int64)
+        self.cls = lines["cls"].to_numpy(np.int64)
+        self.words = [np.sort(np.asarray(w, np.int64).view(np.uint64)) for w in lines["words"]]
+        prefix = []
+        for w in self.words:
+            rarest = np.argsort(_ranks(w, values, ranks), kind="stable")
+            prefix.append(w[rarest[: len(w) - (percent * len(w) + 99) // 100 + 1]])
+        of, tokens = np.repeat(np.arange(len(prefix)), [len(p) for p in prefix]), np.concatenate(prefix)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.start = np.unique(tokens[order], return_index=True)
+        self.of, self.counts = of[order], np.diff(np.r_[self.start, len(order)])
+
+    def meet(self, line: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (open line, line) of which the line has a prefix word of the open line, in this order."""
+        at = np.minimum(np.searchsorted(self.tokens, token), len(self.tokens) - 1)
+        hit = np.flatnonzero(self.tokens[at] == token)
+        many = self.counts[at[hit]]
+        place = np.repeat(self.start[at[hit]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        width = int(line.max()) + 1
+        return np.divmod(np.unique(self.of[place] * width + np.repeat(line[hit], many)), width)
+
+
+def _settle(percent: int, least: int, opened):
+    """(later) of the open lines that match an earlier line of a task's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines: _Open = opened.value
+        done = np.zeros(len(lines.cls), bool)
+        for batch in text_slices(batches):
+            text, number, line, token, n, _ = _line_sets(batch)
+            if not len(token):
+                continue
+            doc = pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)[text]
+            part = batch.column("part").to_numpy(zero_copy_only=False)[text]
+            ends = np.cumsum(n)
+            of, other = lines.meet(line, token)
+            # open and earlier
+            a, b, c = lines.place[of].T
+            before = (doc[other] < a) | (doc[other] == a) & ((part[other] < b) | (part[other] == b) & (number[other] < c))
+            ok = ~done[of] & before & (n[other] >= least)
+            of, other = of[ok], other[ok]
+            cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+            for j, near in zip(of[cut].tolist(), np.split(other, cut[1:]), strict=False):
+                own = lines.words[j]
+                near = near[100 * np.minimum(n[near], len(own)) >= percent * np.maximum(n[near], len(own))]
+                if len(near):
+                    size = n[near]
+                    first = np.cumsum(size) - size
+                    tokens = token[np.repeat(ends[near] - size - first, size) + np.arange(size.sum())]
+                    at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
+                    common = np.add.reduceat((own[at] == tokens).astype(np.int64), first)
+                    done[j] = (100 * common >= percent * (size + len(own) - common)).any()
+        yield pa.RecordBatch.from_arrays([pa.array(lines.cls[done])], ["later"])
+
+    return run
+
+
 def row_parts(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id long, text, any other columns) with `part`: 0, or a hash of the text where doc_id is null or repeats.
 
@@ -275,14 +351,14 @@ def row_parts(docs: DataFrame) -> DataFrame:
     return docs.join(repeated, "doc_id", "left").withColumn("part", F.when(F.col("doc_id").isNull() | F.col("repeats"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("repeats")
 
 
-def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5, frequent: int = FREQUENT) -> DataFrame:
+def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 1, frequent: int = FREQUENT) -> DataFrame:
     """Columns (doc_id, part, line): the lines of `docs` (doc_id, text) that repeat or nearly repeat an earlier one.
 
     Lines are separated by newlines and numbered from 0; earlier is a smaller (doc_id, part, line), null ids first.
     `part` is that of row_parts: it tells rows without an id, or with the same one, apart by their text.
     A line is removed if 100 * common >= percent * all for its distinct words (runs without white space, A-Z in
-    lower case) and those of any earlier line, be that removed itself or not. Lines of fewer than `least`
-    distinct words take no part: they are never removed. Rows of equal doc_id and text count as one document.
+    lower case) and those of any earlier line, be that removed itself or not. Lines without words take no part, nor do
+    those of fewer than `least` distinct words: they are never removed. Rows of equal doc_id and text count as one document.
     Null and empty texts have no lines that take part; an empty table gives an empty result; further
     columns are ignored.
     """
@@ -305,7 +381,7 @@ def _repeated(docs: DataFrame, percent: int, least: int, frequent: int = FREQUEN
     # about nine prefix entries a line
     buckets = max(1, first.count() * 9 // BUCKET)
     entries = docs.mapInArrow(_prefixes(least, percent, listed, buckets), "bucket long, entries binary")
-    # a line is settled by its earliest candidates; only lines that these leave open meet more of them, round by round
+    # a line is settled by its earliest candidates; only lines that these leave open meet more of them
     near, most, only = [], MOST, None
     while True:
         met = entries.groupBy("bucket").applyInArrow(_join_bucket(percent, most, only), "later long, earlier long, doc long, part long, line long, more boolean")
@@ -321,6 +397,13 @@ def _repeated(docs: DataFrame, percent: int, least: int, frequent: int = FREQUEN
         n_left = left.count()
         if not n_left:
             break
+        if n_left <= OPEN_LINES:
+            lines_left = _sets_of(docs, left.select(F.col("later").alias("cls")), first, least).join(first, "cls")
+            if lines_left.agg(F.sum(F.size("words"))).first()[0] <= OPEN_WORDS:
+                at = [F.coalesce("first.doc_id", F.lit(NO_ID)).alias("doc"), F.col("first.part").alias("part"), F.col("first.line").alias("line")]
+                opened = spark.sparkContext.broadcast(_Open(lines_left.select("cls", *at, "words").toPandas(), percent, *listed.value))
+                near.append(materialise(docs.mapInArrow(_settle(percent, least, opened), "later long"), "near"))
+                break
         # bounded: at most BROADCAST_ROWS ids; with more of them open, every line takes part again
         only = spark.sparkContext.broadcast(left.toPandas()["later"].to_numpy(np.int64)) if n_left <= BROADCAST_ROWS else None
         most *= MORE
@@ -348,7 +431,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(left, pa.int64())], [*batch.schema.names, "n_kept"])
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """`docs` (doc_id, `keep`, text) without the lines of repeated_lines, and n_removed and n_kept lines of each row.
 
     Null texts stay null. Columns other than doc_id, text and `keep` are dropped.
@@ -357,7 +440,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, keep: tuple[
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"kept_{c}") for c in kept), F.col("text").cast("string").alias("text"))
     rows = row_parts(rows)
     gone = _repeated(rows.select("doc_id", "text", "part"), percent, least).groupBy("doc_id", "part").agg(F.sort_array(F.collect_list("line")).alias("gone"))
-    gone = _few(gone.withColumnRenamed("doc_id", "of").withColumnRenamed("part", "of_part"))
+    gone = _few(gone.withColumnRenamed("doc_id", "of").withColumnRenamed("part", "of_part"), "gone")
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")), "left").drop("of", "part", "of_part")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields)
     out = joined.mapInArrow(_strip, f"{fields}, n_kept long")

@@ -82,7 +82,7 @@ def test_ngram_links_through_a_row_without_id(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 4), (4, 4), (7, 4)]
 
 
-def brute_lines(texts, least=5):
+def brute_lines(texts, least=1):
     seen, want = [], {}
     for k, t in enumerate(texts):
         gone = set()
@@ -96,10 +96,11 @@ def brute_lines(texts, least=5):
     return want
 
 
-@pytest.mark.parametrize(("most", "more"), [(4, 16), (1, 2)])
-def test_line_dedup(spark, monkeypatch, most, more):
+@pytest.mark.parametrize(("least", "most", "more", "open_lines"), [(1, 4, 16, 1000), (5, 4, 16, 0), (1, 1, 2, 0), (1, 1, 2, 1000)])
+def test_line_dedup(spark, monkeypatch, least, most, more, open_lines):
     monkeypatch.setattr(line_dedup, "MOST", most)
     monkeypatch.setattr(line_dedup, "MORE", more)
+    monkeypatch.setattr(line_dedup, "OPEN_LINES", open_lines)
     rng = random.Random(4)
     vocabulary = [f"v{int(rng.paretovariate(0.7))}" for _ in range(3000)]
     lines = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 30))) for _ in range(120)]
@@ -112,13 +113,20 @@ def test_line_dedup(spark, monkeypatch, most, more):
                 w[rng.randrange(len(w))] = rng.choice(vocabulary)
             own.append(" ".join(w))
         texts.append("\n".join(own))
-    want = brute_lines(texts)
-    for r in line_dedup.dedup_lines(docs(spark, texts).repartition(3), keep=("lang", "cls")).collect():
+    want = brute_lines(texts, least)
+    for r in line_dedup.dedup_lines(docs(spark, texts).repartition(3), least=least, keep=("lang", "cls")).collect():
         gone = want[r.doc_id]
         assert r.n_removed == len(gone)
         assert r.text == (None if texts[r.doc_id] is None else "\n".join(x for k, x in enumerate(texts[r.doc_id].split("\n")) if k not in gone))
 
 
+def test_short_and_very_long_lines(spark):
+    long = " ".join(f"w{k}" for k in range(30_000))
+    texts = ["Les.\na b c d", long, "les.\na b c d e\n语言", "a b c\na c b\n\n \n语言", long + " more", "a b c x"]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert got == {0: "Les.\na b c d", 1: long, 2: "语言", 3: "a b c\n\n ", 4: "", 5: "a b c x"}
+
+
 def test_lines_of_rows_without_a_unique_id(spark):
     rows = [(None, None), (None, "a b c d e\nown f g h i"), (None, "j k l m n\na b c d e"), (3, "o p q r s\nt u v w x"), (3, "y z aa bb cc\no p q r s"), (4, "a b c d e"), (4, "a b c d e")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
