@@ -11,7 +11,6 @@ are asked for can be in a result.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +24,19 @@ from newsloom.shared import materialise
 #: Bound of the sample that codebooks are fitted to (rows of smallest hash of the id).
 SAMPLE = 16_384
 CODEBOOKS, WORDS, BEAM, ROUNDS = 20, 256, 4, 6
+#: How often the codebooks are refitted to the codes that the beam finds, and the rounds over all codebooks in each.
+REFITS, SWEEPS = 2, 6
 #: Codes of a query kept for exact reranking.
 RERANK = 256
+#: Index blocks whose best codes of a query are merged in one step.
+FAN_IN = 32
 QUERY_BLOCK, INDEX_BLOCK = 256, 8192
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(ROUNDS):
-        near = (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)
-        count = np.bincount(near, minlength=k)
-        order = np.argsort(near, kind="stable")
-        sums = np.add.reduceat(np.vstack([x[order], np.zeros((1, x.shape[1]), x.dtype)]), np.minimum(np.cumsum(count) - count, len(x)), axis=0)
+        sums, count = _sums(x, (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1), k)
         full = count > 0
         centres[full] = sums[full] / count[full, None]
         centres[~full] = x[rng.choice(len(x), int((~full).sum()))]
@@ -50,38 +50,37 @@ class Codebooks:
         self.words = words.astype(np.float32)
         self.m, self.k, self.d = words.shape
         self.flat = self.words.reshape(-1, self.d)
-        self.squares = (self.flat * self.flat).sum(1).reshape(self.m, self.k)
-
-    @functools.cached_property
-    def gram(self) -> np.ndarray:
-        """Products of all codewords, which only the encoder needs."""
-        return self.flat @ self.flat.T
+        self.squares = (self.words * self.words).sum(2)
 
     def __reduce__(self):
-        return Codebooks, (self.words,)  # the tables are made anew where they arrive
+        return Codebooks, (self.words,)
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Codes (rows, codebooks) of vectors, by beam search over the squared error."""
-        out = [self._encode(x[i : i + 256], beam) for i in range(0, len(x), 256)]
+        out = [self._encode(x[i : i + 256].astype(np.float32), beam) for i in range(0, len(x), 256)]
         return np.concatenate(out) if out else np.zeros((0, self.m), np.uint8)
 
     def _encode(self, x: np.ndarray, beam: int) -> np.ndarray:
         n = len(x)
-        dots = (x.astype(np.float32) @ self.flat.T).reshape(n, self.m, self.k)
-        codes = np.zeros((n, 1, self.m), np.int64)
-        error = np.zeros((n, 1), np.float32)
+        rest, error = x[:, None, :], np.zeros((n, 1), np.float32)
+        codes = np.zeros((n, 1, self.m), np.uint8)
+        every, doubled = np.arange(n), -2 * self.words.transpose(0, 2, 1)
         for m in range(self.m):
-            # error of a beam's code with each word added: the words' products with the words chosen so far are tabled
-            step = error[:, :, None] + (self.squares[m] - 2 * dots[:, m])[:, None, :]
-            for j in range(m):
-                step = step + 2 * self.gram[codes[:, :, j] + j * self.k, m * self.k : (m + 1) * self.k]
-            flat = step.reshape(n, -1)
-            keep = min(beam, flat.shape[1])
-            best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
-            error = np.take_along_axis(flat, best, 1)
+            # squared error of a beam's residual with each word taken off, but for the vector's own square
+            step = (rest.reshape(-1, self.d) @ doubled[m]).reshape(n, -1, self.k)
+            step += self.squares[m]
+            step += error[:, :, None]
+            step = step.reshape(n, -1)
+            keep = min(beam, step.shape[1])
+            best, error = np.empty((n, keep), np.int64), np.empty((n, keep), np.float32)
+            for b in range(keep):  # for so few quicker than a partition
+                best[:, b] = step.argmin(1)
+                error[:, b] = step[every, best[:, b]]
+                step[every, best[:, b]] = np.inf
             codes = np.take_along_axis(codes, (best // self.k)[:, :, None], 1)
             codes[:, :, m] = best % self.k
-        return codes[np.arange(n), error.argmin(1)].astype(np.uint8)
+            rest = np.take_along_axis(rest, (best // self.k)[:, :, None], 1) - self.words[m][best % self.k]
+        return codes[every, error.argmin(1)]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.words[m][codes[:, m]] for m in range(self.m))
@@ -95,8 +94,18 @@ class Codebooks:
         return total * scale
 
 
+def _sums(rows: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the rows of each of `k` kinds, and their number."""
+    count, order = np.bincount(of, minlength=k), np.argsort(of, kind="stable")
+    padded = np.vstack([rows[order], np.zeros((1, rows.shape[1]), rows.dtype)])
+    sums = np.add.reduceat(padded, np.cumsum(count) - count, axis=0)
+    sums[count == 0] = 0
+    return sums, count
+
+
 def fit(sample: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, seed: int = 0) -> Codebooks:
-    """Codebooks for `sample` (rows, dimensions)."""
+    """Codebooks for `sample` (rows, dimensions): residual k-means, then least squares over all codebooks for the codes
+    that the beam finds, one codebook after the other with the rest held fixed, so that no table of all pairs is needed."""
     x = sample.astype(np.float32)
     rng, k, rest, found = np.random.default_rng(seed), min(words, len(x)), x.copy(), []
     for _ in range(codebooks):
@@ -104,23 +113,18 @@ def fit(sample: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, seed
         rest -= centres[(rest @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)]
         found.append(centres)
     books = Codebooks(np.stack(found))
-    # least squares over all codebooks for the codes that the beam finds
-    codes = books.encode(x, 4).astype(np.int64) + np.arange(codebooks) * k
-    size = codebooks * k
-    pairs = np.zeros((size, size), np.float32)
-    for a in range(codebooks):
-        for b in range(codebooks):
-            pairs[a * k : (a + 1) * k, b * k : (b + 1) * k] = np.bincount((codes[:, a] - a * k) * k + codes[:, b] - b * k, minlength=k * k).reshape(k, k)
-    sums = np.zeros((size, x.shape[1]), np.float32)
-    for m in range(codebooks):
-        np.add.at(sums, codes[:, m], x)
-    # pulled a little to what was found, so that rare words stay in place
-    pull = np.float32(0.5)
-    flat = books.flat
-    del books  # with its table of products
-    pairs[np.diag_indices(size)] += pull
-    better = np.linalg.solve(pairs, sums + pull * flat)
-    return Codebooks(better.reshape(codebooks, k, -1))
+    for _ in range(REFITS):
+        codes, table = books.encode(x), books.words.copy()
+        rest = x - books.decode(codes)
+        for _ in range(SWEEPS):
+            for m in range(codebooks):
+                # the mean of what the other codebooks leave, pulled a little to what was, so that rare words stay in place
+                sums, count = _sums(rest, codes[:, m], k)
+                move = sums / (count + np.float32(0.5))[:, None]
+                table[m] += move
+                rest -= move[codes[:, m]]
+        books = Codebooks(table)
+    return books
 
 
 def _encode(books):
@@ -154,7 +158,8 @@ def _search(books, keep: int):
                 best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
                 found = pa.StructArray.from_arrays([pa.array(np.take_along_axis(scores, best, 1).ravel()), pa.array(cids[best].ravel())], ["estimate", "cid"])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(queries) + 1) * most, pa.int32()), found)
-                yield pa.RecordBatch.from_arrays([queries.field("cid"), lists], ["qcid", "found"])
+                block = pa.array(np.full(len(queries), batch.column("block")[row].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([queries.field("cid"), block, lists], ["qcid", "block", "found"])
 
     return run
 
@@ -185,7 +190,8 @@ def nearest_by_inner_product(vectors: DataFrame, every: int = 20, k: int = 20, r
 
     Ties go to the smaller vec_id; with fewer than `k` candidates all are returned. See valid_vectors for rows
     that take no part. No valid vector, or no query: no rows. Further columns are ignored. Codebooks are
-    fitted to at most `sample` rows (16,384 x dimensions x 4 bytes on the driver); every row is indexed.
+    fitted to at most `sample` rows (16,384 x dimensions x 4 bytes on the driver); every row is indexed, and
+    each query is scored against every code by its table: work grows with queries x rows.
     """
     spark = vectors.sparkSession
     rows = materialise(valid_vectors(vectors), "vectors")
@@ -209,8 +215,12 @@ def nearest_by_inner_product(vectors: DataFrame, every: int = 20, k: int = 20, r
     queries = distinct.groupBy(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("cid", "embedding")).alias("queries"))
     # the stated queries against all rows: each block of queries goes to each block of the index
     sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    found = sent.join(index, "block").select("queries", "entries").mapInArrow(_search(books, rerank), "qcid long, found array<struct<estimate: float, cid: long>>")
-    best = found.groupBy("qcid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found")), asc=False), 1, rerank).alias("found"))
+    best = sent.join(index, "block").select("queries", "entries", "block").mapInArrow(_search(books, rerank), "qcid long, block long, found array<struct<estimate: float, cid: long>>")
+    # merged in levels, so that no row holds the finds of more than FAN_IN blocks
+    while blocks:
+        blocks = -(-blocks // FAN_IN) if blocks > FAN_IN else 0
+        step = F.floor(F.col("block") / FAN_IN) if blocks else F.lit(0)
+        best = best.groupBy("qcid", step.alias("block")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("found")), asc=False), 1, rerank).alias("found"))
     pairs = best.select("qcid", F.explode("found.cid").alias("cid"))
     scored = pairs.join(classes.select("cid", "embedding"), "cid").join(distinct.select(F.col("cid").alias("qcid"), F.col("embedding").alias("query")), "qcid")
     scored = scored.mapInArrow(_rerank, "qcid long, cid long, score double")

@@ -155,7 +155,7 @@ def test_nearest_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 16)).astype(np.float32)
     x[100:140] = x[100]  # copies: ties by id
-    rows = [(k, [float(v) for v in x[k]], "m") for k in range(600)] + [(601, None, "m"), (602, [0.0] * 16, "m"), (603, [float("nan")] * 16, "m"), (604, [1.0], "m"), (605, [None] * 16, "m"), (None, [1.0] * 16, "m"), (7, [float(v) for v in x[7]], "m")]
+    rows = [(k, [float(v) for v in x[k]], "m") for k in range(600)] + [(601, None, "m"), (602, [0.0] * 16, "m"), (603, [float("nan")] * 16, "m"), (604, [1.0], "m"), (605, [None] * 16, "m"), (620, [float("inf")] + [1.0] * 15, "m"), (None, [1.0] * 16, "m"), (7, [float(v) for v in x[7]], "m")]
     got = {}
     for r in ann.nearest_by_inner_product(spark.createDataFrame(rows, "vec_id long, embedding array<float>, members string"), rerank=120).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -171,6 +171,24 @@ def test_nearest_neighbours(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_recall_on_the_embeddings_table(spark, monkeypatch):
+    monkeypatch.setattr(ann, "INDEX_BLOCK", 1000)
+    monkeypatch.setattr(ann, "FAN_IN", 3)
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x, ids = np.stack(rows["embedding"].to_list()).astype(np.float64), rows["vec_id"].to_numpy()
+    found = queries.op4_ann(spark, sf).toPandas()
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        order = np.lexsort((ids, -s))
+        best = ids[order][ids[order] != q][:20]
+        own = found[found["query_id"] == q]
+        hits += len(set(best) & set(own["vec_id"]))
+        assert len(own) == 20 and np.allclose(own["score"], [s[ids == v][0] for v in own["vec_id"]], rtol=1e-12)
+    assert len(ids) > 1000 and hits / (20 * (ids % 20 == 0).sum()) >= 0.95
+
+
 def test_few_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in ann.nearest_by_inner_product(rows).orderBy("rank").collect()] == [(1, 0.5), (2, 0.5)]
