@@ -2,7 +2,8 @@
 
 Distinct pre-tokens are put in buckets by length and padded to a matrix of ids. In each round every
 row merges its leftmost pair of least rank; the pairs' ranks come from a hash table; rows are shifted
-together where they merged, and rows without a further merge leave the matrix.
+together where they merged, and rows without a further merge leave the matrix. A pre-token longer than
+WIDE is a row of its own that merges all places of its least pair in one round, as far as that is the same.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from newsloom.llm.arrow import text_slices
 from newsloom.llm.pretokens import PieceCache, splitter
 
 _NONE = np.int32(2**31 - 1)
+#: Bytes beyond which a pre-token does not join a matrix.
+WIDE = 512
 
 
 class PairTable:
@@ -109,11 +112,28 @@ class ByteBPE:
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as 32-bit integers of this machine."""
         out: list[bytes] = [b""] * len(words)
+        for places, ids, sizes in self._merged(words):
+            for place, row, size in zip(places, ids, sizes, strict=True):
+                out[place] = row[:size].tobytes()
+        return out
+
+    def count_words(self, words: list[bytes]) -> np.ndarray:
+        """The number of ids of each word; the ids themselves are not kept."""
+        out = np.zeros(len(words), np.int64)
+        for places, _, sizes in self._merged(words):
+            out[places] = sizes
+        return out
+
+    def _merged(self, words: list[bytes]) -> Iterator[tuple]:
+        """(places in `words`, rows of ids, ids in each row) as words are done."""
         rest: dict[int, list[int]] = {}
         for k, word in enumerate(words):
             whole = self.whole.get(word)
             if whole is not None:
-                out[k] = np.int32(whole).tobytes()
+                yield [k], [np.array([whole], np.int32)], [1]
+            elif len(word) > WIDE:
+                ids = self._merge_wide(word)
+                yield [k], [ids], [len(ids)]
             elif word:
                 size = len(word)
                 # buckets 2, 3, 4, 6, 8, 12, 16, ...: at most a third of a row is padding
@@ -122,10 +142,37 @@ class ByteBPE:
         for width, rows in rest.items():
             step = max(1, 400_000 // width)
             for k in range(0, len(rows), step):
-                self._merge([words[x] for x in rows[k : k + step]], width, rows[k : k + step], out)
-        return out
-
-    def _merge(self, words: list[bytes], width: int, places: list[int], out: list[bytes]) -> None:
+                yield from self._merge([words[x] for x in rows[k : k + step]], width, rows[k : k + step])
+
+    def _merge_wide(self, word: bytes) -> np.ndarray:
+        """The ids of one word, merging all places of the least pair together.
+
+        The same as one merge at a time from the left, as long as none of the merges makes a pair of still lower rank: the
+        round ends with the first that does.
+        """
+        ids = self.single[np.frombuffer(word, np.uint8)]
+        ids[-1] = self.last[word[-1]]
+        ranks = np.append(self.pairs.rank(ids[:-1], ids[1:]), _NONE)
+        while (least := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == least)
+            # places that overlap stand in runs: every other one of a run from its left
+            run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+            left = np.where(at > 0, ids[at - 1], -1)
+            left[1:][at[1:] - at[:-1] == 2] = least
+            right = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+            here = np.full(len(at), least, np.int32)
+            lower = np.flatnonzero(np.minimum(self.pairs.rank(left, here), self.pairs.rank(here, right)) < least)
+            at = at[: lower[0] + 1] if len(lower) else at
+            ids[at] = least
+            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at + 1)
+            at -= np.arange(len(at))
+            # only the pairs left and right of merged tokens have new ranks
+            new = np.union1d(at, at[at > 0] - 1)
+            ranks[new] = self.pairs.rank(ids[new], np.where(new + 1 < len(ids), ids[np.minimum(new + 1, len(ids) - 1)], -1))
+        return ids
+
+    def _merge(self, words: list[bytes], width: int, places: list[int]) -> Iterator[tuple]:
         sizes = np.array([len(w) for w in words])
         ids = np.full((len(words), width), -1, np.int32)
         ids[np.arange(width) < sizes[:, None]] = self.single[np.frombuffer(b"".join(words), np.uint8)]
@@ -139,8 +186,7 @@ class ByteBPE:
             best = ranks[every, at]
             done = best == _NONE
             if done.any():
-                for row, size, place in zip(ids[done], sizes[done].tolist(), places[done].tolist(), strict=True):
-                    out[place] = row[:size].tobytes()
+                yield places[done], ids[done], sizes[done].tolist()
                 live = ~done
                 ids, ranks, sizes, places, at, best = ids[live], ranks[live], sizes[live], places[live], at[live], best[live]
                 if not len(ids):

@@ -1,9 +1,10 @@
-"""Token counts without token ids: pieces are counted once for each distinct pre-token.
+"""Token counts without token ids: pieces are counted once for each distinct pre-token of the corpus.
 
 A byte-level BPE never merges across pre-tokens, so a document's count is the sum over its distinct
-pre-tokens of frequency x pieces. Each task keeps the table of pieces by pre-token (bounded) and
-joins it to the (document, pre-token, frequency) entries of a slice of documents. The table stays
-with the task: a shuffle of those entries through all executors would be larger than the texts.
+pre-tokens of frequency x pieces. The distinct pre-tokens of all documents are a table; their pieces are
+counted there, once each, and joined to the documents' frequencies. Most occurrences are of few pre-tokens:
+a bounded list of these goes to all tasks and is summed where the text is read, and only the frequencies of
+the others are shuffled to the table.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.arrow import text_slices
 from newsloom.llm.byte_bpe import load_bpe
-from newsloom.llm.pretokens import PieceCache, load_tokenizer, splitter
+from newsloom.llm.pretokens import load_tokenizer, splitter
+from newsloom.shared import materialise
+
+#: Frequent pre-tokens that are joined where the texts are read, and the length up to which one is in that list.
+FREQUENT, FREQUENT_CHARS = 100_000, 32
+#: Distinct pre-tokens that a task counts together.
+COUNTED = 300_000
 
 
 def _frequencies(split: Callable[[str], list[str]], special: regex.Pattern | None, text: str) -> tuple[Counter, int]:
@@ -31,33 +37,90 @@ def _frequencies(split: Callable[[str], list[str]], special: regex.Pattern | Non
     return found, len(parts) - 1
 
 
-def _count(tokenizer_path: str, pattern_text: str):
+def _special(tokenizer_path: str) -> regex.Pattern | None:
+    added = sorted((t.content for t in load_tokenizer(tokenizer_path).get_added_tokens_decoder().values()), key=len, reverse=True)
+    return regex.compile("|".join(map(regex.escape, added))) if added else None
+
+
+def _survey(tokenizer_path: str, pattern_text: str):
+    """(piece, seen): pre-tokens and how many documents nearby have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, special = splitter(pattern_text), _special(tokenizer_path)
+        seen: Counter = Counter()
+        for batch in text_slices(batches):
+            for text in batch.column("text").to_pylist():
+                seen.update(set().union(*(split(part) for part in (special.split(text) if special and special.search(text) else [text]))) if text else ())
+            if len(seen) > COUNTED:
+                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["piece", "seen"])
+                seen = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["piece", "seen"])
+
+    return run
+
+
+def _pieces(tokenizer_path: str):
+    """(piece, seen, n): the tokens of each distinct pre-token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load_bpe(tokenizer_path)
+        for batch in text_slices(batches, "piece"):
+            counts = bpe.count_words([w.encode() for w in batch.column("piece").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("seen"), pa.array(counts)], ["piece", "seen", "n"])
+
+    return run
+
+
+def _occurrences(tokenizer_path: str, pattern_text: str, frequent):
+    """For each document a row (doc_id, name, n_bytes, n) with the tokens of its frequent pre-tokens, and rows (doc_id, name,
+    piece, times) of the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, bpe = splitter(pattern_text), load_bpe(tokenizer_path)
-        added = sorted((t.content for t in load_tokenizer(tokenizer_path).get_added_tokens_decoder().values()), key=len, reverse=True)
-        special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        pieces = PieceCache(lambda words: [len(ids) // 4 for ids in bpe.encode_words([w.encode() for w in words])])
+        split, special, known = splitter(pattern_text), _special(tokenizer_path), frequent.value
         for batch in text_slices(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            tables = [_frequencies(split, special, t) for t in texts]
-            pieces.learn(set().union(*(t for t, _ in tables)))
-            totals = [sum(map(int.__mul__, t.values(), map(pieces.__getitem__, t))) + n for t, n in tables]
-            sizes = [len(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(totals, np.int64))], ["doc_id", "n_bytes", "n_tokens"])
+            row, sizes, totals, pieces, times = [], [], [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                found, total = _frequencies(split, special, text or "")
+                for piece, many in found.items():
+                    n = known.get(piece)
+                    if n is None:
+                        row.append(k)
+                        pieces.append(piece)
+                        times.append(many)
+                    else:
+                        total += many * n
+                sizes.append(len((text or "").encode()))
+                totals.append(total)
+            ids, names = batch.column("doc_id"), batch.column("name")
+            none = pa.nulls(len(ids), pa.string())
+            yield pa.RecordBatch.from_arrays([ids, names, pa.array(sizes, pa.int64()), none, pa.array(totals, pa.int64())], ["doc_id", "name", "n_bytes", "piece", "n"])
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(at), names.take(at), pa.nulls(len(at), pa.int64()), pa.array(pieces, pa.string()), pa.array(times, pa.int64())], ["doc_id", "name", "n_bytes", "piece", "n"])
 
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int = 512) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int = 512, frequent: int = FREQUENT) -> DataFrame:
     """Columns (doc_id, n_bytes, n_tokens, over_limit), one row for each row of `docs` (doc_id, text).
 
     `tokenizer_path` is a byte-level BPE file of the `tokenizers` library and `pattern` the split that
     it makes before merging. Added tokens found in a text count as one token, as the library's default
-    has it; no begin or end tokens, truncation or padding. over_limit: n_tokens > limit.
+    has it; no begin or end tokens, truncation or padding. over_limit: n_tokens > limit. `frequent` bounds the
+    list of pre-tokens that is sent to all tasks; it only affects speed.
 
     Null and empty texts have 0 bytes and tokens. Repeated rows stay, and a null doc_id stays null. An
     empty table gives an empty result; further columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = docs.mapInArrow(_count(tokenizer_path, pattern), "doc_id long, n_bytes long, n_tokens long")
+    spark = docs.sparkSession
+    # rows of equal doc_id and text have equal counts, so id and hash of the text name them
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("name", F.xxhash64("text"))
+    seen = docs.select("text").mapInArrow(_survey(tokenizer_path, pattern), "piece string, seen long").groupBy("piece").agg(F.sum("seen").alias("seen"))
+    table = materialise(seen.mapInArrow(_pieces(tokenizer_path), "piece string, seen long, n long"), "pieces")
+    # bounded: at most `frequent` rows of FREQUENT_CHARS characters reach the driver
+    often = table.where(F.length("piece") <= FREQUENT_CHARS).orderBy(F.desc("seen"), "piece").limit(frequent).select("piece", "n").toPandas()
+    listed = spark.sparkContext.broadcast(dict(zip(often["piece"].tolist(), often["n"].tolist(), strict=True)))
+    rows = materialise(docs.mapInArrow(_occurrences(tokenizer_path, pattern, listed), "doc_id long, name long, n_bytes long, piece string, n long"), "occurrences")
+    rare = rows.where("piece is not null").join(table.select("piece", F.col("n").alias("each")), "piece").select("doc_id", "name", F.col("n_bytes"), (F.col("n") * F.col("each")).alias("n"))
+    each = rows.where("piece is null").drop("piece").unionByName(rare).groupBy("doc_id", "name").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.count("n_bytes").alias("copies"))
+    counts = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "n_bytes", F.expr("n div copies").alias("n_tokens"))
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -33,14 +33,46 @@ def ranks(name):
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(name), "rb"))}
 
 
-def test_token_counts(spark, texts):
+@pytest.mark.parametrize("frequent", [token_counts.FREQUENT, 5, 0])
+def test_token_counts(spark, texts, frequent):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    for r in token_counts.token_counts(docs(spark, texts), P.path("byte_bpe_50k.json"), P.PATTERN).collect():
+    got = token_counts.token_counts(docs(spark, texts).repartition(3), P.path("byte_bpe_50k.json"), P.PATTERN, frequent=frequent).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    for r in got:
         text = texts[r.doc_id] or ""
         assert (r.n_bytes, r.n_tokens) == (len(text.encode()), len(library.encode(text, add_special_tokens=False).ids)), text
         assert r.over_limit == (r.n_tokens > 512)
 
 
+def test_token_counts_of_repeated_rows(spark):
+    rows = [(1, "word one"), (1, "word one"), (1, "another"), (None, "word one"), (None, None), (2, None)]
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json"), P.PATTERN, frequent=1).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got) == [(0, 0, 0), (0, 8, 2), (1, 7, 1), (1, 8, 2), (1, 8, 2), (2, 0, 0)]
+
+
+def test_each_distinct_pre_token_is_counted_once(spark):
+    texts = ["some words here", "some words there", "some words"] * 5
+    seen = docs(spark, texts).repartition(4).select("text").mapInArrow(token_counts._survey(P.path("byte_bpe_50k.json"), P.PATTERN), "piece string, seen long")
+    table = {r.piece: r[1] for r in seen.groupBy("piece").sum("seen").collect()}
+    assert table == {"some": 15, " words": 15, " here": 5, " there": 5}
+
+
+def test_pre_tokens_of_any_length(monkeypatch):
+    rng = random.Random(8)
+    name = "byte_bpe_multi_50k.tiktoken"
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks(name), special_tokens={})
+    bpe, json_bpe, json_library = byte_bpe.load_bpe(P.path(name)), byte_bpe.load_bpe(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    words = ["".join(rng.choice("abcdeonrst") for _ in range(200_000)), "a" * 100_001, "ab" * 30_000, "".join(rng.choice("etaoinßé") for _ in range(5_000))]
+    for word in words:
+        ids = library.encode_ordinary(word)
+        assert np.frombuffer(bpe.encode_words([word.encode()])[0], np.int32).tolist() == ids
+        assert json_bpe.count_words([word.encode()])[0] == len(json_library.encode(word, add_special_tokens=False).ids)
+    monkeypatch.setattr(byte_bpe, "WIDE", 1)
+    short = ["".join(rng.choice("abcdeonrst ") for _ in range(rng.randint(2, 40))).strip() or "a" for _ in range(3000)]
+    for word, ids in zip(short, bpe.encode_words([w.encode() for w in short]), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == library._core_bpe.encode_single_piece(word.encode())
+
+
 def test_bpe_round_trip(spark, texts):
     name = "byte_bpe_multi_50k.tiktoken"
     library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks(name), special_tokens={})
