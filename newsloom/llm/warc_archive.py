@@ -22,16 +22,16 @@ from newsloom.shared import materialise, scratch_path
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_PAYLOAD = 100
-#: Records of a file; bounds what a reading task holds.
-FILE_RECORDS = 1000
+#: Payload bytes and how many records of at most so many a file holds: a reading task holds about 64 MB, or one record.
+TIERS = ((1 << 16, 1000), (1 << 20, 64), (1 << 24, 4), (1 << 31, 1))
 #: Revisits up to which their ids (16 bytes each) are broadcast; beyond, a shuffle join does it.
 BROADCAST_IDS = 500_000
 _DATE = "2026-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _uri(page_id) -> F.Column:
-    return F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">"))
+def _uri(page_id, digest, nth) -> F.Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), digest, F.lit(":"), nth, F.lit(">"))
 
 
 def _one_line(text) -> F.Column:
@@ -39,24 +39,48 @@ def _one_line(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+", " ")
 
 
-def write_warc(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, file_records: int = FILE_RECORDS) -> None:
+def _copies_named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """`rows` with `nth`: "0" for one row of each (page_id, digest), something of its own for every other."""
+    repeated = materialise(names.where("page_id is not null").groupBy("page_id").count().where("count > 1").select("page_id"), "repeated")
+    n_repeated = repeated.count()
+    if not n_repeated and not names.where("page_id is null").limit(1).count():
+        return rows.withColumn("nth", F.lit("0"))
+    repeated = F.broadcast(repeated) if n_repeated <= BROADCAST_IDS else repeated
+    plain = rows.where("page_id is not null").join(repeated, "page_id", "left_anti").withColumn("nth", F.lit("0"))
+    odd = rows.where("page_id is not null").join(repeated, "page_id", "left_semi").unionByName(rows.where("page_id is null"))
+    # equal rows are counted before they are dealt, then told apart by a number
+    odd = odd.groupBy("page_id", "digest", "url", "size").agg(F.first("html").alias("html"), F.count("*").alias("copies"))
+    least = odd.groupBy(F.col("page_id").alias("of"), F.col("digest").alias("of_digest")).agg(F.min("url").alias("least"))
+    odd = odd.join(least, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")))
+    odd = odd.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
+    own = F.concat(F.hex(F.xxhash64("url")), F.lit("-"), F.col("copy").cast("string"))
+    odd = odd.withColumn("nth", F.when((F.col("url") == F.col("least")) & (F.col("copy") == 0), "0").otherwise(own))
+    return plain.unionByName(odd.select(plain.columns))
+
+
+def write_warc(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, tiers: tuple[tuple[int, int], ...] = TIERS) -> None:
     """Write a WARC record for each row of `pages` (page_id, url, html) to files under `path`.
 
     The payload is the html in UTF-8 (null: empty). Of the records with equal payloads of at least `least`
     bytes the one with the least page_id is a response, the others are revisits of it without a block;
-    smaller ones are all responses. Rows without a page_id are left out, of rows that repeat a page_id one
-    is kept; further columns are ignored. An empty table writes no record.
+    smaller ones are all responses. Rows that repeat a page_id each have a record: with another payload one of
+    its own kind, with an equal one (of at least `least` bytes) a revisit, but for the one of least url. Rows without a
+    page_id are responses that nothing refers to. Further columns are ignored. An empty table writes no record.
+
+    `tiers` bounds files by bytes: pairs of a payload size and how many records up to that size a file holds.
     """
-    columns = [F.col("page_id").cast("long").alias("page_id"), (F.col("url").cast("string") if "url" in pages.columns else F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")]
-    rows = pages.where("page_id is not null").select(columns).withColumn("size", F.octet_length("html"))
+    columns = [F.col("page_id").cast("long").alias("page_id"), (F.coalesce(F.col("url").cast("string"), F.lit("")) if "url" in pages.columns else F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")]
+    rows = pages.select(columns).withColumn("size", F.octet_length("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     names = materialise(rows.select("page_id", "size", "digest"), "digests")
-    first = names.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last").drop("last")
-    revisits = materialise(names.where(F.col("size") >= least).join(first, "digest").where("page_id <> first").select("page_id", "first").distinct(), "revisits")
-    if names.groupBy("page_id").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["page_id"])
+    known = names.where((F.col("size") >= least) & F.col("page_id").isNotNull())
+    first = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last").drop("last")
+    revisits = materialise(known.join(first, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct(), "revisits")
+    rows = _copies_named(rows, names)
     few = revisits.count() <= BROADCAST_IDS
-    rows = rows.join(F.broadcast(revisits) if few else revisits, "page_id", "left")
+    rows = rows.join(F.broadcast(revisits) if few else revisits, ["page_id", "digest"], "left")
+    again = (F.col("size") >= least) & F.col("page_id").isNotNull() & (F.col("nth") != "0")
+    rows = rows.withColumn("first", F.coalesce("first", F.when(again, F.col("page_id"))))
 
     again = F.col("first").isNotNull()
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
@@ -65,17 +89,24 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, file_rec
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _uri(F.col("page_id"))),
+        line("WARC-Record-ID", _uri(F.col("page_id"), F.col("digest"), F.col("nth"))),
         line("WARC-Date", F.lit(_DATE)),
         line("WARC-Target-URI", _one_line(F.col("url"))),
-        F.when(again, F.concat(line("WARC-Profile", F.lit(_REVISIT)), line("WARC-Refers-To", _uri(F.col("first"))))).otherwise(F.lit("")),
+        F.when(again, F.concat(line("WARC-Profile", F.lit(_REVISIT)), line("WARC-Refers-To", _uri(F.col("first"), F.col("digest"), F.lit("0"))))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
     # the text writer ends each record with the second of the two line breaks that close it
-    rows.select(F.concat(header, block, F.lit("\r\n")).alias("record")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", file_records).text(path)
+    records = rows.select("size", F.concat(header, block, F.lit("\r\n")).alias("record"))
+    tops, below = [top for top, _ in tiers], -1
+    held = names.agg(*(F.sum((F.col("size") <= top).cast("long")).alias(f"up_to_{k}") for k, top in enumerate(tops))).first()
+    known_rows = 0
+    for k, (top, most) in enumerate(tiers):
+        if (held[k] or 0) > known_rows or k == 0:
+            records.where((F.col("size") > below) & (F.col("size") <= top)).select("record").write.option("lineSep", "\r\n").option("maxRecordsPerFile", most).text(f"{path}/up-to-{top}")
+        known_rows, below = held[k] or 0, top
 
 
 _MAGIC = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
@@ -84,7 +115,7 @@ _SCHEMA = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("successor"
 
 
 def _number(value: bytes | None) -> int | None:
-    found = re.fullmatch(rb"<urn:page:(-?\d+)>|(\d+)", value or b"")
+    found = re.fullmatch(rb"<urn:page:(-?\d+)(?::[0-9A-Za-z:-]*)?>|(\d+)", value or b"")
     return int(found[1] or found[2]) if found else None
 
 

@@ -1,5 +1,6 @@
 """Quality, line dedup, n-gram join, nearest neighbours, WARC and the pipeline against brute force."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -216,10 +217,28 @@ def test_warc_chain_rejects_magic_in_payloads(spark):
     inner = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
     html = [None, "", "short", "short", "y" * 100, "y" * 100, inner, inner + "z" * 100, inner + "z" * 100, "é" * 60]
     rows = spark.createDataFrame([(k, "http://a\r\nB: c", h, "d") for k, h in enumerate(html)] + [(0, "again", None, "d"), (None, "no id", "q", "d")], "page_id long, url string, html string, digest string")
-    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc_archive.archive_pages(rows).collect()}
-    want = {k: ("response", None, len((h or "").encode())) for k, h in enumerate(html)}
-    want[5], want[8] = ("revisit", 4, 100), ("revisit", 7, len(inner) + 100)
-    assert got == want
+    got = sorted((-1 if r.page_id is None else r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc_archive.archive_pages(rows).collect())
+    want = {k: (k, "response", None, len((h or "").encode())) for k, h in enumerate(html)}
+    want[5], want[8] = (5, "revisit", 4, 100), (8, "revisit", 7, len(inner) + 100)
+    assert got == sorted([*want.values(), (0, "response", None, 0), (-1, "response", None, 1)])
+
+
+def test_warc_of_repeated_page_ids(spark):
+    a, b = "A" * 150, "B" * 150
+    rows = [(0, "u", b), (0, "u", a), (0, "u", a), (0, "v", a), (1, "u", a), (3, "u", a), (3, "u", b), (None, "u", a), (None, "u", a), (4, None, "x"), (4, None, "x")]
+    got = warc_archive.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in (a, b, "x")}
+    want = [(0, "response", None, 150, digest[b]), (0, "response", None, 150, digest[a])] + [(k, "revisit", 0, 150, digest[a]) for k in (0, 0, 1, 3)]
+    want += [(3, "revisit", 0, 150, digest[b])] + [(None, "response", None, 150, digest[a])] * 2 + [(4, "response", None, 1, digest["x"])] * 2
+    assert sorted(map(str, [(r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in got])) == sorted(map(str, want))
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "u", chr(97 + k) * (10 if k % 3 else 5000)) for k in range(20)], "page_id long, url string, html string").coalesce(1)
+    warc_archive.write_warc(rows, str(tmp_path / "w"), tiers=((100, 6), (1 << 31, 1)))
+    files = list((tmp_path / "w").rglob("part-*"))
+    assert sorted(len(f.read_bytes()) > 5000 for f in files) == [False] * 3 + [True] * 7
+    assert warc_archive.read_warc(spark, str(tmp_path / "w")).where("record_type = 'response'").count() == 20
 
 
 def test_pointer_jumping():
