@@ -34,6 +34,8 @@ SALTS = 32
 BLOCK = 512
 #: Candidate documents up to which their ids (8 bytes each) are broadcast; beyond, a shuffle join does it.
 BROADCAST_IDS = 1_000_000
+#: Tokens with so many sets that their leaders are broadcast (32 bytes each); and blocks of several chunks up to which that is done.
+HOT_TOKENS, BROADCAST_BLOCKS = 100_000, 200_000
 #: Token occurrences counted together for the list of frequent ones.
 COUNTED = 3_000_000
 
@@ -104,7 +106,8 @@ def _first_seen(cls: np.ndarray, known: set[int], most: int = 500_000) -> np.nda
 
 
 def _postings(size: int, percent: int, frequent, salts: int):
-    """Pass 2: (token, salt, cls, n) for the prefix of each set; salt is -1 but for frequent tokens."""
+    """Pass 2: (token, salt, cls, n) for the prefix of each set; salt is -1 but for frequent tokens. n is twice the set's size,
+    and one more for tokens of the part of the prefix in which two linked sets share one at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = frequent.value
@@ -119,9 +122,10 @@ def _postings(size: int, percent: int, frequent, salts: int):
             docs, tokens, rank = docs[order], tokens[order], rank[order]
             place = np.arange(len(tokens)) - (np.cumsum(n) - n)[docs]
             keep = (place < (n - _least(n, percent) + _tenth(n))[docs]) & _first_seen(cls, known)[docs]
-            docs, tokens, rank = docs[keep], tokens[keep], rank[keep]
+            docs, tokens, rank, place = docs[keep], tokens[keep], rank[keep], place[keep]
+            packed = 2 * n[docs] + (place <= (n - _least(n, percent))[docs])
             salt = np.where(rank > 0, (cls.view(np.uint64) >> np.uint64(40)).astype(np.int64)[docs] % salts, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(salt), pa.array(cls[docs]), pa.array(n[docs])], ["token", "salt", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(salt), pa.array(cls[docs]), pa.array(packed)], ["token", "salt", "cls", "n"])
 
     return run
 
@@ -261,6 +265,12 @@ def _broadcast_if_few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _few_blocks(rows: DataFrame) -> DataFrame:
+    """A row (leader, band, ...) for each block of several chunks, to be broadcast in a join if there are few."""
+    rows = materialise(rows, "chunked")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_BLOCKS else rows
+
+
 def ngram_jaccard_components(docs: DataFrame, percent: int = 80, size: int = SHINGLE, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
     """Columns (doc_id, n_shingles, component_id), one row for each row of `docs` (doc_id, text).
 
@@ -288,20 +298,28 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, size: int = SHI
 
     postings = docs.mapInArrow(_postings(size, percent, listed, SALTS), "token long, salt long, cls long, n long")
     # sets that link differ little in size: of a token's sets ordered by size, those with a near neighbour stay
-    by_size = Window.partitionBy("token", "salt").orderBy("n", "cls")
-    near = (F.col("n") * percent <= F.lag("n").over(by_size) * 100) | (F.lead("n").over(by_size) * percent <= F.col("n") * 100)
-    several = materialise(postings.withColumn("near", near).where("near or salt >= 0").select("token", "cls", "n"), "several")
+    by_size, size_of = Window.partitionBy("token", "salt").orderBy("n", "cls"), lambda n: F.floor(n / 2)
+    near = (size_of(F.col("n")) * percent <= size_of(F.lag("n").over(by_size)) * 100) | (size_of(F.lead("n").over(by_size)) * percent <= size_of(F.col("n")) * 100)
+    several = postings.withColumn("near", near).where("near or salt >= 0").select("token", "cls", size_of(F.col("n")).alias("n"), (F.col("n") % 2 == 1).alias("leads"))
+    several = materialise(several, "several")
     # and a linked set shares a tenth of the smaller size with such neighbours
     smaller = F.floor((percent * F.col("n") + 99) / 100)
     able = several.groupBy("cls").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= F.floor((smaller + 9) / 10)).select("cls")
-    several = several.join(_broadcast_if_few(able), "cls", "left_semi")
+    meeting = materialise(several.where("leads").join(_broadcast_if_few(able), "cls", "left_semi").select("token", "cls", "n"), "meeting")
     # sets that link differ in size by a factor of 1.25 at most: they share one of two neighbouring bands
     low = F.floor(F.log(F.col("n")) / F.log(F.lit(1.01 * 100 / percent)))
-    banded = several.withColumn("band", F.explode(F.array(low, low + 1)))
-    leaders = banded.groupBy("token", "band").agg(F.min("cls").alias("leader"), F.max("cls").alias("most")).where("leader <> most").drop("most")
-    blocks = banded.join(leaders, ["token", "band"]).groupBy("leader", "band", "cls").agg(F.max("n").alias("n"))
-    sizes = blocks.groupBy("leader", "band").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("chunks"))
-    blocks = materialise(blocks.join(sizes, ["leader", "band"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")), "blocks")
+    banded = meeting.withColumn("band", F.explode(F.array(low, low + 1)))
+    leaders = banded.groupBy("token", "band").agg(F.min("cls").alias("leader"), F.max("cls").alias("most"), F.count("*").alias("sets")).where("leader <> most").drop("most")
+    leaders = materialise(leaders, "leaders")
+    # no task gets all sets of a token: of two rows for each of `meeting` at most 2 * HOT_TOKENS tokens have that many
+    many = F.col("sets") > max(block, meeting.count() // HOT_TOKENS)
+    hot, rest = leaders.where(many).drop("sets"), leaders.where(~many).drop("sets")
+    led = banded.join(F.broadcast(hot), ["token", "band"]).unionByName(banded.join(F.broadcast(hot), ["token", "band"], "left_anti").join(rest, ["token", "band"]))
+    blocks = materialise(led.groupBy("leader", "band", "cls").agg(F.max("n").alias("n")), "seats")
+    # the blocks that are opened in chunks; at most a row for each `block` seats
+    chunks = _few_blocks(blocks.groupBy("leader", "band").count().where(F.col("count") > block).select("leader", "band", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("chunks")))
+    blocks = blocks.join(chunks, ["leader", "band"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    blocks = materialise(blocks.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")), "blocks")
 
     wanted = blocks.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id"))
     needed = docs.join(_broadcast_if_few(wanted.where("doc_id is not null")), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
@@ -318,10 +336,10 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, size: int = SHI
         # blocks of several chunks: documents outside the leader's component against the other chunks
         comp = F.coalesce("component", "cls")
         placed = large.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", comp).drop("n")
-        lead = placed.where("cls = leader").select("leader", "band", F.col("component").alias("main"))
+        lead = _few_blocks(placed.where("cls = leader").select("leader", "band", F.col("component").alias("main")))
         placed = placed.join(lead, ["leader", "band"])
         asking = placed.where("component <> main")
-        rows = asking.groupBy("leader", "band").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("askers"))
+        rows = _few_blocks(asking.groupBy("leader", "band").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("askers")))
         asking = asking.join(rows, ["leader", "band"]).withColumn("ask", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("askers")).cast("int"))
         asked = asking.select("leader", "band", "ask", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cls", "component", F.lit(True).alias("asks"))
         members = placed.join(rows, ["leader", "band"]).select("leader", "band", F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("ask"), "chunk", "cls", "component", F.lit(False).alias("asks"))
