@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that nearly repeat an earlier one; those of which nothing is left go."""
-    out = dedup_lines(docs, keep=tuple(docs.columns)).where("n_removed = 0 or trim(text) <> ''")
+    out = dedup_lines(docs, keep=tuple(docs.columns)).where(r"n_removed = 0 or text rlike '[^ \\t\\n\\x0B\\f\\r]'")
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
