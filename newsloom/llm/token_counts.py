@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.arrow import text_slices
 from newsloom.llm.byte_bpe import load_bpe
+from newsloom.llm.line_dedup import row_parts
 from newsloom.llm.pretokens import load_tokenizer, splitter
 from newsloom.shared import materialise
 
 #: Frequent pre-tokens that are joined where the texts are read, and the length up to which one is in that list.
-FREQUENT, FREQUENT_CHARS = 100_000, 32
+FREQUENT, FREQUENT_CHARS = 262_144, 32
 #: Distinct pre-tokens that a task counts together.
 COUNTED = 300_000
 
@@ -72,7 +73,7 @@ def _pieces(tokenizer_path: str):
 
 
 def _occurrences(tokenizer_path: str, pattern_text: str, frequent):
-    """For each document a row (doc_id, name, n_bytes, n) with the tokens of its frequent pre-tokens, and rows (doc_id, name,
+    """For each document a row (doc_id, part, n_bytes, n) with the tokens of its frequent pre-tokens, and rows (doc_id, part,
     piece, times) of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,11 +92,11 @@ def _occurrences(tokenizer_path: str, pattern_text: str, frequent):
                         total += many * n
                 sizes.append(len((text or "").encode()))
                 totals.append(total)
-            ids, names = batch.column("doc_id"), batch.column("name")
+            ids, parts = batch.column("doc_id"), batch.column("part")
             none = pa.nulls(len(ids), pa.string())
-            yield pa.RecordBatch.from_arrays([ids, names, pa.array(sizes, pa.int64()), none, pa.array(totals, pa.int64())], ["doc_id", "name", "n_bytes", "piece", "n"])
+            yield pa.RecordBatch.from_arrays([ids, parts, pa.array(sizes, pa.int64()), none, pa.array(totals, pa.int64())], ["doc_id", "part", "n_bytes", "piece", "n"])
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(at), names.take(at), pa.nulls(len(at), pa.int64()), pa.array(pieces, pa.string()), pa.array(times, pa.int64())], ["doc_id", "name", "n_bytes", "piece", "n"])
+            yield pa.RecordBatch.from_arrays([ids.take(at), parts.take(at), pa.nulls(len(at), pa.int64()), pa.array(pieces, pa.string()), pa.array(times, pa.int64())], ["doc_id", "part", "n_bytes", "piece", "n"])
 
     return run
 
@@ -112,15 +113,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
     empty table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
-    # rows of equal doc_id and text have equal counts, so id and hash of the text name them
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("name", F.xxhash64("text"))
+    # rows of equal doc_id and text have equal counts
+    docs = row_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     seen = docs.select("text").mapInArrow(_survey(tokenizer_path, pattern), "piece string, seen long").groupBy("piece").agg(F.sum("seen").alias("seen"))
     table = materialise(seen.mapInArrow(_pieces(tokenizer_path), "piece string, seen long, n long"), "pieces")
     # bounded: at most `frequent` rows of FREQUENT_CHARS characters reach the driver
     often = table.where(F.length("piece") <= FREQUENT_CHARS).orderBy(F.desc("seen"), "piece").limit(frequent).select("piece", "n").toPandas()
     listed = spark.sparkContext.broadcast(dict(zip(often["piece"].tolist(), often["n"].tolist(), strict=True)))
-    rows = materialise(docs.mapInArrow(_occurrences(tokenizer_path, pattern, listed), "doc_id long, name long, n_bytes long, piece string, n long"), "occurrences")
-    rare = rows.where("piece is not null").join(table.select("piece", F.col("n").alias("each")), "piece").select("doc_id", "name", F.col("n_bytes"), (F.col("n") * F.col("each")).alias("n"))
-    each = rows.where("piece is null").drop("piece").unionByName(rare).groupBy("doc_id", "name").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.count("n_bytes").alias("copies"))
+    rows = materialise(docs.mapInArrow(_occurrences(tokenizer_path, pattern, listed), "doc_id long, part long, n_bytes long, piece string, n long"), "occurrences")
+    rare = rows.where("piece is not null").join(table.select("piece", F.col("n").alias("each")), "piece").select("doc_id", "part", "n_bytes", (F.col("n") * F.col("each")).alias("n"))
+    each = rows.where("piece is null").drop("piece").unionByName(rare).groupBy("doc_id", "part").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.count("n_bytes").alias("copies"))
     counts = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "n_bytes", F.expr("n div copies").alias("n_tokens"))
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)
