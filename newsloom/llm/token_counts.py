@@ -117,8 +117,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
     docs = row_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     seen = docs.select("text").mapInArrow(_survey(tokenizer_path, pattern), "piece string, seen long").groupBy("piece").agg(F.sum("seen").alias("seen"))
     table = materialise(seen.mapInArrow(_pieces(tokenizer_path), "piece string, seen long, n long"), "pieces")
-    # bounded: at most `frequent` rows of FREQUENT_CHARS characters reach the driver
-    often = table.where(F.length("piece") <= FREQUENT_CHARS).orderBy(F.desc("seen"), "piece").limit(frequent).select("piece", "n").toPandas()
+    # bounded: at most `frequent` rows of FREQUENT_CHARS characters reach the driver, those seen so often that no more are
+    short, least, total = table.where(F.length("piece") <= FREQUENT_CHARS), None, 0
+    for seen, n in short.groupBy("seen").count().orderBy(F.desc("seen")).limit(frequent + 1).collect():
+        total += n
+        if total > frequent:
+            break
+        least = seen
+    often = (short.where(F.col("seen") >= least) if least is not None else short.limit(0)).select("piece", "n").toPandas()
     listed = spark.sparkContext.broadcast(dict(zip(often["piece"].tolist(), often["n"].tolist(), strict=True)))
     rows = materialise(docs.mapInArrow(_occurrences(tokenizer_path, pattern, listed), "doc_id long, part long, n_bytes long, piece string, n long"), "occurrences")
     rare = rows.where("piece is not null").join(table.select("piece", F.col("n").alias("each")), "piece").select("doc_id", "part", "n_bytes", (F.col("n") * F.col("each")).alias("n"))
