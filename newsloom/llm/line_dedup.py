@@ -20,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.arrow import text_slices
+from newsloom.llm.arrow import release_memory, text_slices
 from newsloom.llm.hashing import mix, shingle_hashes, text_buffer, word_hashes
 from newsloom.shared import materialise
 
 #: Words in the list that orders them by rarity; words beyond it are the rarest, ordered by hash.
 FREQUENT = 262_144
 #: Prefix entries that one task joins together.
-BUCKET = 300_000
+BUCKET = 150_000
 #: Word occurrences counted together for the list of frequent words.
 COUNTED = 2_000_000
 #: Rows, and numbers in their arrays, up to which a table of ids or of line numbers is broadcast; beyond, a shuffle join does it.
@@ -167,11 +167,11 @@ def _pack(entries: np.ndarray) -> bytes:
     return entries.view(np.uint8).reshape(len(entries), -1).T.tobytes()
 
 
-def _unpack(packed: bytes) -> np.ndarray:
+def _unpack(packed: pa.Buffer) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY)[:, 0]
 
 
-def candidate_pairs(entries: np.ndarray, percent: int, step: int = 500_000) -> Iterator[np.ndarray]:
+def candidate_pairs(entries: np.ndarray, percent: int, step: int = 200_000) -> Iterator[np.ndarray]:
     """Rows (later, doc, part, line, earlier) of classes that share a prefix word and pass all filters; doc, part and line
     are the earlier one's place. A pair can come more than once."""
     order = np.lexsort((entries["line"], entries["part"], entries["doc"], entries["cls"], entries["n"], entries["token"]))
@@ -227,7 +227,8 @@ def _join_bucket(percent: int, most: int, only):
     """(later, earlier, doc, part, line, more) of a bucket: the `most` earliest candidates of each line, and whether it has more."""
 
     def run(table: pa.Table) -> pa.Table:
-        entries = np.concatenate([_unpack(x) for x in table.column("entries").to_pylist()])
+        release_memory()
+        entries = np.concatenate([_unpack(x.as_buffer()) for x in table.column("entries")])
         found = np.zeros((0, 5), np.int64)
         for pairs in candidate_pairs(entries, percent):
             if only is not None:

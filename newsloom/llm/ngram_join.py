@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.llm.arrow import text_slices
+from newsloom.llm.arrow import release_memory, text_slices
 from newsloom.llm.hashing import SHINGLE, mix, shingle_hashes, text_buffer, word_hashes
 from newsloom.operators.graph import connected_components
 from newsloom.shared import materialise
@@ -234,6 +234,7 @@ def _decoded(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 def _open_group(percent: int):
     def run(table: pa.Table) -> pa.Table:
+        release_memory()
         cls = np.array(table.column("cls").to_pylist(), np.int64)
         cls, order = np.unique(cls, return_index=True)
         sets = _decoded(table.column("tokens"))
