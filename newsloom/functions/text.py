@@ -19,7 +19,7 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Runs without blanks; 0 for null."""
-    return F.coalesce(F.size(F.filter(F.split(text, r"[ \t\n\r]+"), lambda w: w != "")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r]+")), F.lit(0))
 
 
 def hits(text: Column, phrases: list[str]) -> Column:

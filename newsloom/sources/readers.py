@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.joins import upsert
+from newsloom.operators.selection import best_per_key
+from newsloom.shared import replace_table
 
 OUTLETS = "slug string, name string, url string, tier string, country string, political_lean_baseline string, rss_url string"
 #: Accepted forms of a time; fixtures leave the seconds out.
-TIMES = ["yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mmX", "yyyy-MM-dd HH:mm:ss", "EEE, dd MMM yyyy HH:mm:ss Z"]
+TIMES = ["yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mmX", "yyyy-MM-dd HH:mm:ss", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z"]
+#: Links that lead to no article.
+JUNK_LINK = r"(?i)/(login|signin|subscribe|newsletter|podcasts?|video|live|photos?|games|horoscopes?)(/|$|[?#])"
 
 
 def parse_time(text):
-    """The first form that fits, else null."""
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in TIMES[:3]))
+    """The first form that fits, else null. Of a feed's form the weekday is not read, and names of universal time count as +0000."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), "^[A-Za-z]{3,9}, *", ""), " (GMT|UTC|UT|Z)$", " +0000")
+    return F.coalesce(*(F.try_to_timestamp(plain, F.lit(f)) for f in TIMES))
 
 
 def outlets(spark: SparkSession, path: str, editions: dict[str, list[str]] | None = None, edition: str = "world") -> DataFrame:
@@ -28,14 +33,19 @@ def outlets(spark: SparkSession, path: str, editions: dict[str, list[str]] | Non
     return rows.where(~F.upper("country").isin(mapped) | F.col("country").isNull())
 
 
-def feed_entries(spark: SparkSession, path: str, per_feed: int = 30) -> DataFrame:
-    """The entries of RSS files under `path`: (feed, title, link, description, published), junk titles left out."""
-    schema = "title string, link string, description string, pubDate string"
-    rows = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).withColumn("feed", F.col("_metadata.file_path"))
-    rows = rows.where(F.length("title") >= 10)
-    from newsloom.operators.selection import best_per_key
+def feed_entries(spark: SparkSession, path: str, per_feed: int = 30, now: str | None = None, max_days: int = 2) -> DataFrame:
+    """The first entries of each RSS file under `path`, as they stand in it: (feed, title, link, description, published).
 
-    kept = best_per_key(rows, ["feed"], [F.desc("pubDate"), F.col("link")], per_feed)
+    Titles of under ten characters and links to sections without articles are left out, and with `now` also entries of more than
+    `max_days` before it; entries without a readable time stay.
+    """
+    schema = "title string, link string, description string, pubDate string"
+    rows = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("feed"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"))
+    rows = rows.where((F.length("title") >= 10) & ~F.coalesce(F.col("link").rlike(JUNK_LINK), F.lit(False)))
+    if now is not None:
+        rows = rows.where(F.coalesce(parse_time(F.col("pubDate")) >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(max_days)} DAYS"), F.lit(True)))
+    kept = best_per_key(rows.withColumnRenamed("place", "stands"), ["feed"], [F.col("stands")], per_feed)
     return kept.select("feed", "title", "link", F.substring("description", 1, 1000).alias("description"), F.col("pubDate").alias("published"))
 
 
@@ -50,8 +60,5 @@ def nested_events(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_latest(spark: SparkSession, path: str, changes: DataFrame, keys: list[str]) -> None:
-    """Merge `changes` into the table under `path`: written beside it and then read by its new path, never over what is being read."""
-    from newsloom.shared import materialise
-
-    merged = materialise(upsert(spark.read.parquet(path), changes, keys), "merged")
-    merged.write.mode("overwrite").parquet(path)
+    """Merge `changes` into the table under `path`; the merged table takes its place only when it is written in full."""
+    replace_table(upsert(spark.read.parquet(path), changes, keys), path)

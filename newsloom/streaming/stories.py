@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from newsloom.shared import path_exists
+
 
 def with_event_time(events: DataFrame, time: str = "ts", late: str = "2 days") -> DataFrame:
     """`events` with a timestamp that watermarks accept; rows later than `late` are dropped by the operators below."""
@@ -54,11 +56,8 @@ def upsert_sink(path: str, keys: list[str]):
 
     def write(batch: DataFrame, _: int) -> None:
         spark, fresh = batch.sparkSession, batch.dropDuplicates(keys)
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(keys), keys, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if path_exists(spark, path):
+            fresh = fresh.join(spark.read.schema(batch.schema).parquet(path).select(keys), keys, "left_anti")
         fresh.write.mode("append").parquet(path)
 
     return write

@@ -1,11 +1,13 @@
 """Semantics that SQL twins cannot show, on small fixtures."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.operators import joins, selection, state, stories
+from newsloom.operators import analysis, joins, selection, state, stories
 from newsloom.operators.graph import connected_components
+from newsloom.shared import replace_table
 from newsloom.sources.readers import feed_entries, nested_events, outlets, parse_time, write_latest
 from newsloom.streaming import stories as stream
 
@@ -72,6 +74,28 @@ def test_sources(spark, tmp_path):
     assert t[0].t.hour == 6 and t[1].t is None
 
 
+def test_feed_entries_keep_the_order_of_the_feed(spark, tmp_path):
+    item = "<item><title>A long enough title {0}</title><link>https://x/{0}</link><pubDate>{1}</pubDate></item>"
+    dates = ["Mon, 06 Apr 2026 10:00:00 GMT", "Wed, 08 Apr 2026 10:00:00 +0200", "Thu, 01 Jan 2026 10:00:00 GMT", "unknown"]
+    junk = "<item><title>A title of a section</title><link>https://x/subscribe/now</link></item>"
+    (tmp_path / "f.xml").write_text("<rss><channel>" + junk + "".join(item.format(k, d) for k, d in enumerate(dates)) + "</channel></rss>")
+    links = lambda **more: sorted(r.link[-1] for r in feed_entries(spark, str(tmp_path / "f.xml"), **more).collect())
+    assert links() == ["0", "1", "2", "3"] and links(per_feed=2) == ["0", "1"]
+    assert links(now="2026-04-08 09:00:00") == ["0", "1", "3"] and links(now="2026-04-09 09:00:00") == ["1", "3"]
+    t = [r.t for r in spark.createDataFrame([(d,) for d in dates], "t string").select(parse_time(F.col("t")).alias("t")).collect()]
+    assert [x and (x.day, x.hour) for x in t] == [(6, 10), (8, 8), (1, 10), None]
+
+
+def test_failed_write_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    with pytest.raises(Exception):
+        replace_table(spark.read.parquet(path).select(F.raise_error(F.lit("no")).alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+    replace_table(spark.read.parquet(path).where("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir() if ".old-" in p.name] == []
+
+
 def test_latest_wins_sink(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string").write.parquet(path)
@@ -99,6 +123,16 @@ def test_streaming_average_and_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def test_streaming_windows_drop_late_rows(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, "event_id long, event_type string, user_id long, value double, ts string").withColumn("ts", F.to_timestamp("ts"))
+    frames = [frame([(1, "a", 1, 1.0, "2001-01-10 00:00:00")]), frame([(2, "a", 1, 1.0, "2001-01-09 00:00:00")]), frame([(3, "a", 1, 1.0, "2001-01-01 00:00:00")])]
+    source = stream.with_event_time(_stream(spark, tmp_path, frames))
+    q = stream.window_counts(source, "ts", "1 day", None, "event_type").writeStream.outputMode("update").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("late").agg(F.sum("n")).first()[0] == 2
+
+
 def test_streaming_windows_match_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     source = stream.with_event_time(_stream(spark, tmp_path, [events]))
@@ -108,3 +142,17 @@ def test_streaming_windows_match_batch(spark, tmp_path):
     batch = stream.window_counts(events, "ts", "1 day", None, "event_type")
     pick = lambda df: sorted((r.event_type, r.n, r.total) for r in df.collect())
     assert pick(spark.table("days")) == pick(batch)
+
+
+def test_axes_of_single_articles(spark):
+    calm = "Secretary Jane Doe said in a statement that 40 percent of \"the planned budget cuts\" were dropped, according to the study."
+    loud = "SHOCKING chaos! You must act right now! They never listen! I say it is absurd! Insane!"
+    rows = [(1, "Budget cuts dropped after talks in the capital", calm, "us_major"), (2, "You won't believe what happens next!!", loud, None), (3, None, None, "independent"), (4, "", " \n", "us_major")]
+    rows = spark.createDataFrame(rows, "article_id long, title string, body string, tier string")
+    loudness = {r.article_id: r for r in analysis.sensationalism(rows).collect()}
+    views = {r.article_id: r for r in analysis.opinion(rows).collect()}
+    rigor = {r.article_id: r for r in analysis.factual_rigor(rows).collect()}
+    assert loudness[2].headline == 34.0 and loudness[2].sensationalism > 60 > 20 > loudness[1].sensationalism
+    assert loudness[3].sensationalism == loudness[4].sensationalism == 5 and rigor[3].rigor == rigor[4].rigor == 10
+    assert rigor[1].named_source == 20 and rigor[1].data == 33 and rigor[1].quotes == 20 and rigor[1].rigor > rigor[2].rigor
+    assert views[2].pronoun > views[1].pronoun == 0 and views[2].opinion > views[1].opinion and views[3].attribution == 50
