@@ -438,6 +438,12 @@ def story_components(spark, d):
     return stories.components_of(stories.similar_titles(a), a)
 
 
+ORACLE_SQL["story_components"] = with_tables("", "articles").replace("WITH ", "WITH RECURSIVE ", 1) + _TITLE_PAIRS.replace("SELECT p.article_id", """, alike AS MATERIALIZED (SELECT p.article_id""") + """),
+edges AS MATERIALIZED (SELECT article_id AS src, other_id AS dst FROM alike UNION ALL SELECT other_id, article_id FROM alike),
+reach(node, origin) AS (SELECT article_id, article_id FROM articles UNION SELECT dst, origin FROM reach JOIN edges ON src = node)
+SELECT node AS article_id, min(origin) AS story_id FROM reach GROUP BY node"""
+
+
 @query()
 def average_linkage_stories(spark, d):
     """Stories by TF-IDF cosine of the titles and average linkage."""
@@ -484,7 +490,12 @@ def article_gates(spark, d):
     return S.articles(spark, d).select("article_id", T.looks_paywalled(F.col("body")).alias("paywalled"), T.is_garbage(F.col("title"), F.col("body")).alias("garbage"))
 
 
-@query()
+_BARE = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _BARE = f"replace({_BARE}, '{_name}', '{_char}')"
+
+
+@query(rf"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace({_BARE}, '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""")
 def page_text(spark, d):
     """Title and visible text of every page."""
     return table(spark, d, "pages").select("page_id", T.page_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("text"))
@@ -689,6 +700,16 @@ def feed_ranks(spark, d):
     return decreasing(top(c).join(c.select("cluster_id", "rank"), "cluster_id"))
 
 
+ORACLE_SQL["feed_ranks"] = with_tables("", "clusters").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+best AS (SELECT * FROM clusters ORDER BY rank DESC, cluster_id LIMIT 300),
+fitting AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rank DESC, cluster_id) <= 2 AS fits FROM best),
+turns AS (SELECT *, row_number() OVER (PARTITION BY fits ORDER BY rank DESC, cluster_id) AS turn FROM fitting),
+placed AS MATERIALIZED (SELECT cluster_id, rank::DOUBLE AS rank, row_number() OVER (ORDER BY fits AND turn <= 10 DESC, rank DESC, cluster_id) AS position FROM turns),
+walk(cluster_id, position, rank) AS (SELECT cluster_id, position, rank FROM placed WHERE position = 1
+  UNION ALL SELECT p.cluster_id, p.position, CASE WHEN p.rank >= w.rank THEN round_even(w.rank - 0.1e0, 2) ELSE p.rank END FROM walk w JOIN placed p ON p.position = w.position + 1)
+SELECT cluster_id, position::INT AS position, rank FROM walk"""
+
+
 @query("""WITH p AS (SELECT p_partkey AS story_id, p_brand AS thread, CAST(DATE '2001-11-05' - CAST(p_partkey % 200 AS INTEGER) AS DATE) AS day, p_name AS title, p_size AS source_count FROM part),
 n AS (SELECT thread, count(*) AS thread_printings FROM p GROUP BY thread), w AS (SELECT *, string_split(title, ' ') AS t FROM p WHERE list_contains(string_split(title, ' '), 'small')),
 s AS (SELECT story_id, thread, thread_printings, day, round(len(list_filter(t, lambda x: x = 'small')) / len(t) * (1 + least(source_count, 60) / 120::DOUBLE) * (0.5::DOUBLE + 0.5::DOUBLE * exp(-date_diff('day', day, DATE '2001-11-05') / 90::DOUBLE)), 8) AS rank FROM w JOIN n USING (thread))
