@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = java.get() if java.isDefined() else None
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="newsloom-")
         spark.sparkContext.setCheckpointDir(folder)
