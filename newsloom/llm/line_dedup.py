@@ -28,6 +28,8 @@ from newsloom.shared import materialise
 FREQUENT = 262_144
 #: Prefix entries that one task joins together.
 BUCKET = 150_000
+#: Occurrences from which on a listed word is hot: lines of up to SHORT words then meet by it and a second word in common.
+HOT, SHORT = 50_000, 24
 #: Word occurrences counted together for the list of frequent words.
 COUNTED = 2_000_000
 #: Rows, and numbers in their arrays, up to which a table of ids or of line numbers is broadcast; beyond, a shuffle join does it.
@@ -120,11 +122,35 @@ def _ranks(token: np.ndarray, values: np.ndarray, ranks: np.ndarray) -> np.ndarr
     return np.where(values[at] == token, ranks[at], 0)
 
 
-def _prefixes(least: int, percent: int, frequent, buckets: int):
-    """(bucket, entries): packed prefix entries of each distinct line of a slice, by bucket of the word."""
+def _keys(line: np.ndarray, token: np.ndarray, n: np.ndarray, hot: np.ndarray, percent: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, key) of the prefix entries of words that stand by line, rarest first.
+
+    The key is the word; for a hot word in a line of up to `short` words the word and a later one: two lines that match
+    have a first and a second word in common, and the second is among the first n - ceil(t * n) + 2 of each. Lines whose
+    partners may be longer than `short` have both forms.
+    """
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+    place = np.arange(len(line)) - np.repeat(first, np.diff(np.r_[first, len(line)]))
+    size = n[line]
+    need = (percent * size + 99) // 100
+    reach = size - need + 1
+    inside = place < reach
+    twice = inside & hot & (size <= short) & (need >= 2)
+    single = np.flatnonzero(inside & (~twice | (100 * size > percent * short)))
+    home = np.flatnonzero(twice)
+    seconds = (reach - place)[home]
+    at = np.repeat(home, seconds)
+    other = at + 1 + np.arange(len(at)) - np.repeat(np.cumsum(seconds) - seconds, seconds)
+    both = mix(mix(token[at] ^ _SEED) + token[other])
+    use = np.concatenate([single, at])
+    return line[use], place[use], np.concatenate([token[single], both])
+
+
+def _prefixes(least: int, percent: int, frequent, buckets: int, short: int):
+    """(bucket, entries): packed prefix entries of each distinct line of a slice, by bucket of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, ranks = frequent.value
+        values, ranks, least_hot = frequent.value
         for batch in text_slices(batches):
             text, number, line, token, n, cls = _line_sets(batch)
             doc = pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)[text]
@@ -140,11 +166,7 @@ def _prefixes(least: int, percent: int, frequent, buckets: int):
             low, high = _signatures(line, token, len(n))
             # by line, then rarest first; within a rank the words stay in the order of their hashes
             order = np.argsort(line * (len(values) + 2) + rank, kind="stable")
-            line, token = line[order], token[order]
-            first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
-            place = np.arange(len(line)) - np.repeat(first, np.diff(np.r_[first, len(line)]))
-            keep = place < (n - (percent * n + 99) // 100 + 1)[line]
-            line, token, place = line[keep], token[keep], place[keep]
+            line, place, token = _keys(line[order], token[order], n, rank[order] >= least_hot, percent, short)
             entry = np.empty(len(line), ENTRY)
             entry["token"], entry["cls"], entry["n"], entry["place"] = token >> np.uint64(32), cls[line], n[line], place
             entry["low"], entry["high"], entry["doc"], entry["part"], entry["line"] = low[line], high[line], doc[line], part[line], number[line]
@@ -377,11 +399,15 @@ def _repeated(docs: DataFrame, percent: int, least: int, frequent: int = FREQUEN
     often = survey.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(frequent).toPandas()
     values = often["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
-    listed = spark.sparkContext.broadcast((values[order], np.arange(len(values), 0, -1)[order]))
+    # the most frequent word has the highest rank, hot words those from least_hot on
+    least_hot = len(values) + 1 - int((often["seen"] >= HOT).sum())
+    listed = spark.sparkContext.broadcast((values[order], np.arange(len(values), 0, -1)[order], least_hot))
 
-    # about nine prefix entries a line
+    # about nine prefix entries a line; the smallest sets that match others than equal ones need two words in common, or no key has two
     buckets = max(1, first.count() * 9 // BUCKET)
-    entries = docs.mapInArrow(_prefixes(least, percent, listed, buckets), "bucket long, entries binary")
+    smallest = -(-percent // (100 - percent)) if percent < 100 else 2
+    short = SHORT if percent * smallest > 100 else 0
+    entries = docs.mapInArrow(_prefixes(least, percent, listed, buckets, short), "bucket long, entries binary")
     # a line is settled by its earliest candidates; only lines that these leave open meet more of them
     near, most, only = [], MOST, None
     while True:
@@ -402,7 +428,7 @@ def _repeated(docs: DataFrame, percent: int, least: int, frequent: int = FREQUEN
             lines_left = _sets_of(docs, left.select(F.col("later").alias("cls")), first, least).join(first, "cls")
             if lines_left.agg(F.sum(F.size("words"))).first()[0] <= OPEN_WORDS:
                 at = [F.coalesce("first.doc_id", F.lit(NO_ID)).alias("doc"), F.col("first.part").alias("part"), F.col("first.line").alias("line")]
-                opened = spark.sparkContext.broadcast(_Open(lines_left.select("cls", *at, "words").toPandas(), percent, *listed.value))
+                opened = spark.sparkContext.broadcast(_Open(lines_left.select("cls", *at, "words").toPandas(), percent, *listed.value[:2]))
                 near.append(materialise(docs.mapInArrow(_settle(percent, least, opened), "later long"), "near"))
                 break
         # bounded: at most BROADCAST_ROWS ids; with more of them open, every line takes part again

@@ -97,8 +97,9 @@ def brute_lines(texts, least=1):
     return want
 
 
-@pytest.mark.parametrize(("least", "most", "more", "open_lines"), [(1, 4, 16, 1000), (5, 4, 16, 0), (1, 1, 2, 0), (1, 1, 2, 1000)])
-def test_line_dedup(spark, monkeypatch, least, most, more, open_lines):
+@pytest.mark.parametrize(("least", "most", "more", "open_lines", "hot"), [(1, 4, 16, 1000, 9), (5, 4, 16, 0, 50_000), (1, 1, 2, 0, 1), (1, 1, 2, 1000, 50_000), (1, 4, 16, 0, 4)])
+def test_line_dedup(spark, monkeypatch, least, most, more, open_lines, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "MOST", most)
     monkeypatch.setattr(line_dedup, "MORE", more)
     monkeypatch.setattr(line_dedup, "OPEN_LINES", open_lines)
@@ -146,6 +147,25 @@ def test_a_template_word_after_the_rarest_one_makes_no_pairs():
     assert sum(map(len, line_dedup.candidate_pairs(entries, 80))) == 300 * 299 // 2
 
 
+def test_keys_of_hot_words():
+    """Lines meet by a hot word only with a second word, and all sets that match share a key."""
+    rng = np.random.default_rng(3)
+    token = np.arange(1, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(150):
+        own = np.sort(rng.choice(token, rng.integers(4, 34), replace=False))
+        sets += [own, np.delete(own, 1), np.sort(np.append(own[:-1], np.uint64(70)))]
+    n = np.array([len(x) for x in sets])
+    line, place, key = line_dedup._keys(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n, np.concatenate(sets) >= 10, 80, 24)
+    keys = [set(key[line == k].tolist()) for k in range(len(sets))]
+    words = [set(x.tolist()) for x in sets]
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(words[a] & words[b]) >= 80 * len(words[a] | words[b]):
+                assert keys[a] & keys[b]
+    assert not any(k in range(10, 60) for j, own in enumerate(keys) if n[j] <= 19 for k in own)
+
+
 def test_near_duplicates_of_an_id_over_two_texts(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = spark.createDataFrame([(5, a), (5, b), (5, b), (9, a), (2, c), (None, c)], "doc_id long, text string")
