@@ -95,6 +95,15 @@ def word_hashes(buffer: np.ndarray, bounds: np.ndarray, lower: bool = True) -> t
     return hashes, np.searchsorted(starts, bounds)
 
 
+def _weight(k: int) -> np.uint64:
+    return np.uint64((2 * k + 3) * 0x632BE59BD9B4E019 % (1 << 64))
+
+
+def single_hashes(words: np.ndarray) -> np.ndarray:
+    """What shingle_hashes makes of every single word, in the order of the words."""
+    return mix(words * _weight(0))
+
+
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text number, shingle hash), distinct and in this order; a text of fewer than `size` words is one shingle."""
     counts = np.diff(bounds)
@@ -105,8 +114,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -
     out = np.zeros(len(words), np.uint64)
     room = np.concatenate([words, np.zeros(size, np.uint64)])
     for k in range(size):
-        weight = np.uint64((2 * k + 3) * 0x632BE59BD9B4E019 % (1 << 64))
-        part = room[k : k + len(words)] * weight
+        part = room[k : k + len(words)] * _weight(k)
         # the words beyond a short text's end take no part
         part[short & (k >= np.repeat(counts, counts))] = 0
         out += part

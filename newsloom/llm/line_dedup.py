@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.arrow import release_memory, text_slices
-from newsloom.llm.hashing import mix, shingle_hashes, text_buffer, word_hashes
+from newsloom.llm.hashing import mix, shingle_hashes, single_hashes, text_buffer, word_hashes
 from newsloom.shared import materialise
 
 #: Words in the list that orders them by rarity; words beyond it are the rarest, ordered by hash.
@@ -114,14 +114,39 @@ def _signatures(line: np.ndarray, token: np.ndarray, lines: int) -> tuple[np.nda
     return out[0], out[1]
 
 
-def _ranks(token: np.ndarray, values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+#: Leading bits of a word's hash by which the list of frequent words is entered.
+ENTER = 18
+
+
+def _entrances(values: np.ndarray) -> np.ndarray:
+    """Where in the sorted `values` the words of each ENTER leading bits begin."""
+    return np.searchsorted(values, np.arange(1 << ENTER, dtype=np.uint64) << np.uint64(64 - ENTER))
+
+
+def _ranks(token: np.ndarray, values: np.ndarray, ranks: np.ndarray, entrances: np.ndarray | None = None) -> np.ndarray:
     """Place of each word in the list of frequent ones, the most frequent last; 0 for the rest."""
     if not len(values):
         return np.zeros(len(token), np.int64)
-    at = np.minimum(np.searchsorted(values, token), len(values) - 1)
+    top = len(values) - 1
+    if entrances is None:
+        at = np.minimum(np.searchsorted(values, token), top)
+    else:
+        at = np.minimum(entrances[token >> np.uint64(64 - ENTER)], top)
+        on = np.flatnonzero((values[at] < token) & (at < top))
+        while len(on):
+            at[on] += 1
+            on = on[(values[at[on]] < token[on]) & (at[on] < top)]
     return np.where(values[at] == token, ranks[at], 0)
 
 
+def _sorted_places(major: np.ndarray, minor: np.ndarray, width: int) -> np.ndarray:
+    """Stable order by (major, minor), minor under `width`: one sort of both and the place, where 63 bits hold them."""
+    n = len(major)
+    if n and (int(major.max()) + 1) * width * n < 1 << 63:
+        return np.sort((major * width + minor) * n + np.arange(n)) % n
+    return np.lexsort((minor, major))
+
+
 def _keys(line: np.ndarray, token: np.ndarray, n: np.ndarray, hot: np.ndarray, percent: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, place, key) of the prefix entries of words that stand by line, rarest first.
 
@@ -131,12 +156,13 @@ def _keys(line: np.ndarray, token: np.ndarray, n: np.ndarray, hot: np.ndarray, p
     """
     first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
     place = np.arange(len(line)) - np.repeat(first, np.diff(np.r_[first, len(line)]))
-    size = n[line]
-    need = (percent * size + 99) // 100
-    reach = size - need + 1
+    least = (percent * n + 99) // 100
+    near = np.flatnonzero(place <= (n - least + 1)[line])  # prefixes, and the one word after each
+    line, token, place, hot = line[near], token[near], place[near], hot[near]
+    reach = (n - least + 1)[line]
     inside = place < reach
-    twice = inside & hot & (size <= short) & (need >= 2)
-    single = np.flatnonzero(inside & (~twice | (100 * size > percent * short)))
+    twice = inside & hot & ((n <= short) & (least >= 2))[line]
+    single = np.flatnonzero(inside & (~twice | (100 * n > percent * short)[line]))
     home = np.flatnonzero(twice)
     seconds = (reach - place)[home]
     at = np.repeat(home, seconds)
@@ -151,6 +177,7 @@ def _prefixes(least: int, percent: int, frequent, buckets: int, short: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks, least_hot = frequent.value
+        entrances = _entrances(values)
         for batch in text_slices(batches):
             text, number, line, token, n, cls = _line_sets(batch)
             doc = pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)[text]
@@ -162,10 +189,10 @@ def _prefixes(least: int, percent: int, frequent, buckets: int, short: int):
             # a set so small that one word more is too much matches equal ones only
             keep = (once & (n >= least) & (100 * n >= percent * (n + 1)))[line]
             line, token = line[keep], token[keep]
-            rank = _ranks(token, values, ranks)
+            rank = _ranks(token, values, ranks, entrances)
             low, high = _signatures(line, token, len(n))
             # by line, then rarest first; within a rank the words stay in the order of their hashes
-            order = np.argsort(line * (len(values) + 2) + rank, kind="stable")
+            order = _sorted_places(line, rank, len(values) + 2)
             line, place, token = _keys(line[order], token[order], n, rank[order] >= least_hot, percent, short)
             entry = np.empty(len(line), ENTRY)
             entry["token"], entry["cls"], entry["n"], entry["place"] = token >> np.uint64(32), cls[line], n[line], place
@@ -174,7 +201,8 @@ def _prefixes(least: int, percent: int, frequent, buckets: int, short: int):
             order = np.argsort(bucket, kind="stable")
             entry, bucket = entry[order], bucket[order]
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-            packed = [_pack(x) for x in np.split(entry, cut[1:])] if len(bucket) else []
+            planes = _planes(entry)
+            packed = [planes[:, a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(bucket)], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(packed, pa.binary())], ["bucket", "entries"])
 
     return run
@@ -184,9 +212,9 @@ def _prefixes(least: int, percent: int, frequent, buckets: int, short: int):
 ENTRY = np.dtype([("cls", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("part", "<i8"), ("token", "<u4"), ("n", "<i4"), ("place", "<i4"), ("line", "<i4")])
 
 
-def _pack(entries: np.ndarray) -> bytes:
+def _planes(entries: np.ndarray) -> np.ndarray:
     """Entries byte plane by byte plane: planes of small numbers compress to almost nothing."""
-    return entries.view(np.uint8).reshape(len(entries), -1).T.tobytes()
+    return np.ascontiguousarray(entries.view(np.uint8).reshape(len(entries), ENTRY.itemsize).T)
 
 
 def _unpack(packed: pa.Buffer) -> np.ndarray:
@@ -319,6 +347,8 @@ class _Open:
         order = np.argsort(tokens, kind="stable")
         self.tokens, self.start = np.unique(tokens[order], return_index=True)
         self.of, self.counts = of[order], np.diff(np.r_[self.start, len(order)])
+        self.leads = np.zeros(1 << 16, bool)  # first bits of the hashes of these words
+        self.leads[self.tokens >> np.uint64(48)] = True
 
     def meet(self, line: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (open line, line) of which the line has a prefix word of the open line, in this order."""
@@ -337,9 +367,21 @@ def _settle(percent: int, least: int, opened):
         lines: _Open = opened.value
         done = np.zeros(len(lines.cls), bool)
         for batch in text_slices(batches):
-            text, number, line, token, n, _ = _line_sets(batch)
-            if not len(token):
+            # only lines that may have a prefix word of an open one are made sets
+            buffer, bounds = text_buffer(batch.column("text"))
+            cuts, of_text = line_bounds(buffer, bounds)
+            words, word_bounds = word_hashes(buffer, cuts)
+            counts = np.diff(word_bounds)
+            home = np.repeat(np.arange(len(counts)), counts)
+            use = np.zeros(len(counts), bool)
+            use[home[lines.leads[single_hashes(words) >> np.uint64(48)]]] = True
+            if not use.any():
                 continue
+            line, token = shingle_hashes(words[use[home]], np.r_[0, np.cumsum(counts[use])], 1)
+            n = np.bincount(line, minlength=int(use.sum()))
+            text = np.repeat(np.arange(batch.num_rows), np.diff(of_text))
+            number = (np.arange(len(text)) - of_text[:-1][text])[use]
+            text = text[use]
             doc = pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)[text]
             part = batch.column("part").to_numpy(zero_copy_only=False)[text]
             ends = np.cumsum(n)
