@@ -27,7 +27,7 @@ from newsloom.shared import materialise
 #: Words in the list that orders them by rarity; words beyond it are the rarest, ordered by hash.
 FREQUENT = 262_144
 #: Prefix entries that one task joins together.
-BUCKET = 150_000
+BUCKET = 225_000
 #: Occurrences from which on a listed word is hot: lines of up to SHORT words then meet by it and a second word in common.
 HOT, SHORT = 50_000, 24
 #: Word occurrences counted together for the list of frequent words.
