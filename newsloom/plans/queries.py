@@ -11,6 +11,7 @@ from newsloom.functions import text as T
 from newsloom.operators import audit, enrichment, joins, ranking, selection, state, stories
 from newsloom.plans import story_tables as S
 from newsloom.plans.story_tables import AS_OF, table, with_tables
+from newsloom.shared import materialise
 from newsloom.streaming import stories as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -449,7 +450,9 @@ def average_linkage_stories(spark, d):
     """Stories by TF-IDF cosine of the titles and average linkage."""
     a = S.articles(spark, d)
     weights = stories.tf_idf(a, "title")
-    return stories.average_linkage(stories.cosine_pairs(weights, 0.15, 20), a)
+    copies = materialise(stories.equal_vectors(weights), "copies")
+    distinct = weights.join(copies.select(F.col("vector_id").alias("article_id")).distinct(), "article_id", "left_semi")
+    return stories.average_linkage(stories.cosine_pairs(distinct, 0.15, 20), a, copies)
 
 
 @query("""WITH r AS (SELECT user_id * 100 + day(ts) AS cluster_id, event_id AS claim_id, event_type, TRY_CAST(regexp_extract(props, '([0-9]{1,9})', 1) AS DOUBLE) AS number FROM events)
