@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm import twins
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -98,6 +100,30 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as 16 codes of its parts, with its error and its label's."""
+    from newsloom.llm.vector_codes import compress_vectors
+
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids of the word vocabulary written to flat files in order of doc_id and read back by memory map."""
+    from newsloom.llm.token_files import read_token_files, write_token_files
+    from newsloom.shared import scratch_path
+
+    folder = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 documents of the highest score for each benchmark item."""
+    from newsloom.llm.lexical_search import search_documents
+
+    return search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -109,18 +135,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_files": op12_token_files,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op8_warc": """
-        WITH p AS (
-            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
-        ), f AS (
-            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
-        )
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
-        FROM f
-    """,
+    "op8_warc": twins.WARC,
+    "op11_vector_codes": twins.vector_codes(),
+    "op13_lexical_search": twins.lexical_search(),
 }
