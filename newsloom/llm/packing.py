@@ -49,9 +49,9 @@ class WordIds:
     slice together; texts with added tokens or other scripts go to the library as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 300_000):
         self.tokenizer, self.special, self.split, bpe = load_tokenizer(path), _special(path), splitter(WORDS), load_bpe(path)
-        self.known = PieceCache(lambda words: bpe.encode_words([w.encode() for w in words]))
+        self.known = PieceCache(lambda words: bpe.encode_words([w.encode() for w in words]), most)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         plain = [settled(t) and not self.special.search(t) for t in texts]

@@ -8,6 +8,7 @@ prefix sums of the parts before. A document's place among all ids is its part's
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 import zlib
@@ -27,6 +28,8 @@ from newsloom.llm.pretokens import load_tokenizer
 
 #: UTF-8 bytes of text for one part.
 PART_BYTES = 256 << 20
+#: Words whose ids a worker process keeps from task to task.
+KNOWN = 600_000
 #: Documents that a reading task gives back at a time.
 STEP = 4096
 
@@ -71,11 +74,16 @@ class _PartWriter:
         return self.part, self.n_docs, self.n_null, self.n_tokens
 
 
+@functools.cache
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path, KNOWN)
+
+
 def _encode(path: str, end_id: int, kind: str, bounds: np.ndarray):
     """(part, doc_id, row, ids): each document's ids and the part that it belongs to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordIds(path), np.array([end_id], kind).tobytes()
+        encode, end = _word_ids(path), np.array([end_id], kind).tobytes()
         for batch in text_slices(batches):
             ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in encode([t or "" for t in batch.column("text").to_pylist()])]
             key, row = batch.column("doc_id").fill_null(_LEAST).to_numpy(), batch.column("row").to_numpy()
