@@ -5,6 +5,8 @@ Every stage but the last returns the columns of documents; a changed text has a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +24,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_poor(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _rewritten(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], changed: str) -> DataFrame:
+    """The documents whose texts `stage` rewrites, with a new n_chars where `changed` holds.
+
+    Columns other than doc_id and text are renamed meanwhile, so that none clashes with those that the stage adds.
+    """
+    own = {c: f"own_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = stage(docs.withColumnsRenamed(own))
+    size = F.when(F.expr(changed), F.length("text").cast("long")).otherwise(F.col(own["n_chars"]))
+    return out.withColumn(own["n_chars"], size).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that nearly repeat an earlier one; those of which nothing is left go."""
-    out = dedup_lines(docs, keep=tuple(docs.columns)).where(r"n_removed = 0 or text rlike '[^ \\t\\n\\x0B\\f\\r]'")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+    def stage(rows: DataFrame) -> DataFrame:
+        return dedup_lines(rows, keep=tuple(rows.columns)).where(r"n_removed = 0 or text rlike '[^ \\t\\n\\x0B\\f\\r]'")
+
+    return _rewritten(docs, stage, "n_removed > 0")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +51,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets redacted."""
-    found = find_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=tuple(docs.columns))
-    found = found.withColumn("text", redacted(F.col("text"), F.col("spans")))
-    return found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+    def stage(rows: DataFrame) -> DataFrame:
+        found = find_secrets(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=tuple(rows.columns))
+        return found.withColumn("text", redacted(F.col("text"), F.col("spans")))
+
+    return _rewritten(docs, stage, "size(spans) > 0")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -301,3 +301,19 @@ def test_pipeline_stages(spark):
     for r in corpus_pipeline.STAGES[-1][1](spark, now, SF).collect():
         pieces[r.doc_id] += r.length
     assert set(pieces) == set(left)
+
+
+def test_stages_with_clashing_columns(spark):
+    names = "lang source spans n_removed n_kept gone part of of_part cls line words kept_lang own_3 label quality held_out score predicted token n first bucket block rank component_id n_shingles".split()
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    own = "A plain sentence of the town council stands here alone.\nIt was read twice on Monday."
+    rows = [(1, own + "\npassword = abcdefgh12345678"), (2, "The other page keeps its river and its bridge.\n" + own.split("\n")[1]), (3, None), (4, "")]
+    table = spark.createDataFrame([(i, t, len(t or ""), *(f"{c}-{i}" for c in names)) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, SF)
+        assert out.columns == table.columns, name
+        for r in out.collect():
+            assert [r[c] for c in names] == [f"{c}-{r.doc_id}" for c in names] and r.n_chars == len(r.text or ""), name
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, table, SF).collect()}[2] == rows[1][1].split("\n")[0]
+    assert "[SECRET]" in {r.doc_id: r.text for r in corpus_pipeline.secrets(spark, table, SF).collect()}[1]
+    assert sorted({r.doc_id for r in corpus_pipeline.packing(spark, table, SF).collect()}) == [1, 2, 3, 4]
