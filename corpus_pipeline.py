@@ -30,7 +30,7 @@ def _rewritten(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], changed
     Columns other than doc_id and text are renamed meanwhile, so that none clashes with those that the stage adds.
     """
     own = {c: f"own_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    out = stage(docs.withColumnsRenamed(own))
+    out = stage(docs.select(*(F.col(c).alias(own.get(c, c)) for c in docs.columns)))
     size = F.when(F.expr(changed), F.length("text").cast("long")).otherwise(F.col(own["n_chars"]))
     return out.withColumn(own["n_chars"], size).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
