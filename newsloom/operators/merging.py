@@ -18,6 +18,12 @@ def term_pairs(stories: DataFrame, terms: str) -> DataFrame:
     return each.withColumnRenamed("story_id", "a").join(other, "term").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def timed_terms(articles: DataFrame, terms: Column) -> DataFrame:
+    """(story_id, terms, at) of articles that have no time of their own: hours by their id."""
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("article_id") % 97).cast("int"))
+    return articles.select(F.col("article_id").alias("story_id"), F.array_distinct(terms).alias("terms"), at.alias("at"))
+
+
 def merge_edges(stories: DataFrame, terms: str, time: str, least: int = 3, rare: int = 3, similar: float = 0.08, hours: int = 48) -> DataFrame:
     """(a, b, shared): pairs that share `least` terms, one of them in at most `rare` stories, at a Jaccard similarity of at
     least `similar` and within `hours`.

@@ -316,7 +316,7 @@ UNION ALL SELECT 'RF-4', 'WRONG', 'coverage', cluster_id FROM c WHERE content_ty
 UNION ALL SELECT 'RF-11', 'ACCEPTABLE', 'hygiene', cluster_id FROM c WHERE regexp_matches(concat(coalesce(title, ''), ' ', summary), '[–—]') OR regexp_matches(lower(concat(coalesce(title, ''), ' ', summary)), '\\b(unprecedented|historic|landmark|crucial)\\b')
 UNION ALL SELECT 'RF-3', 'WRONG', 'agreement', cluster_id FROM c WHERE content_type <> 'opinion' AND trim(summary) <> '' AND NOT {_RAW_SQL} AND len(p) >= 2 AND len(list_intersect(p, list_distinct({_WORDS.format("array_to_string(string_split(summary, chr(10))[2:], ' ')")}))) = 0
 UNION ALL SELECT 'RF-7', 'WRONG', 'junk', cluster_id FROM c WHERE contains(lower(title), 'best ')::INT * 2 + contains(lower(title), 'how to')::INT * 2 + contains(lower(title), 'license')::INT * 3 >= 3)""", "articles")
-def feed_findings(spark, d):
+def card_findings(spark, d):
     """Findings of five rules over all cards."""
     c = _cards(spark, d)
     rest = F.array_join(F.slice(F.split("summary", "\n"), 2, 1_000_000), " ")

@@ -11,7 +11,6 @@ from newsloom.functions import text as T
 from newsloom.operators import audit, enrichment, joins, ranking, selection, state, stories
 from newsloom.plans import story_tables as S
 from newsloom.plans.story_tables import AS_OF, table, with_tables
-from newsloom.shared import materialise
 from newsloom.streaming import stories as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +21,8 @@ def query(sql: str | None = None, *tables: str):
     """Register the function under its name, with SQL over the story tables named."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"query {f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = with_tables(sql, *tables) if tables else sql
@@ -445,16 +446,6 @@ reach(node, origin) AS (SELECT article_id, article_id FROM articles UNION SELECT
 SELECT node AS article_id, min(origin) AS story_id FROM reach GROUP BY node"""
 
 
-@query()
-def average_linkage_stories(spark, d):
-    """Stories by TF-IDF cosine of the titles and average linkage."""
-    a = S.articles(spark, d)
-    weights = stories.tf_idf(a, "title")
-    copies = materialise(stories.equal_vectors(weights), "copies")
-    distinct = weights.join(copies.select(F.col("vector_id").alias("article_id")).distinct(), "article_id", "left_semi")
-    return stories.average_linkage(stories.cosine_pairs(distinct, 0.15, 20), a, copies)
-
-
 @query("""WITH r AS (SELECT user_id * 100 + day(ts) AS cluster_id, event_id AS claim_id, event_type, TRY_CAST(regexp_extract(props, '([0-9]{1,9})', 1) AS DOUBLE) AS number FROM events)
 SELECT a.cluster_id, a.claim_id, b.claim_id AS other_id, a.number, b.number AS other_number FROM r a JOIN r b ON a.cluster_id = b.cluster_id AND a.claim_id < b.claim_id AND a.event_type <> b.event_type
 WHERE a.number > 0 AND b.number > 0 AND (greatest(a.number, b.number) - least(a.number, b.number)) / greatest(a.number, b.number) > 0.2 AND greatest(a.number, b.number) / least(a.number, b.number) <= 100""")

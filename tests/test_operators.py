@@ -1,11 +1,10 @@
 """Semantics that SQL twins cannot show, on small fixtures."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.operators import analysis, joins, selection, state, stories
+from newsloom.operators import analysis, clustering, joins, selection, state, stories
 from newsloom.operators.graph import connected_components
 from newsloom.shared import replace_table
 from newsloom.sources.readers import feed_entries, nested_events, outlets, parse_time, write_latest
@@ -22,29 +21,16 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_linkage_cuts_between_blocks():
-    d = np.array([[0, 0.1, 0.9], [0.1, 0, 0.95], [0.9, 0.95, 0]])
-    assert stories.linkage(d, 0.5).tolist() == [0, 0, 2]
-    assert len(set(stories.linkage(d, 0.99).tolist())) == 1
-
-
 def test_stories_of_many_articles_with_one_title(spark):
     titles = ["harbour strike enters second week"] * 30 + ["harbour strike enters third week", "museum opens wing", "museum opens wing", None, ""]
     rows = spark.createDataFrame(list(enumerate(titles)), "article_id long, title string")
     weights = stories.tf_idf(rows, "title")
     copies = stories.equal_vectors(weights)
     distinct = weights.join(copies.select(F.col("vector_id").alias("article_id")).distinct(), "article_id", "left_semi")
-    got = {r.article_id: r.story_id for r in stories.average_linkage(stories.cosine_pairs(distinct, 0.15, 20), rows, copies).collect()}
+    got = {r.article_id: r.story_id for r in stories.average_linkage(clustering.prefix_pairs(distinct, 0.15), rows, copies).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 31: 31, 32: 31, 33: 33, 34: 34}
 
 
-def test_linkage_of_rows_that_stand_for_many():
-    whole = np.array([[0, 0, 0.5, 0.9], [0, 0, 0.5, 0.9], [0.5, 0.5, 0, 0.6], [0.9, 0.9, 0.6, 0]])
-    for cut in (0.55, 0.79, 0.81):
-        short = stories.linkage(whole[1:, 1:], cut, np.array([2, 1, 1]))
-        assert np.array_equal(stories.linkage(whole, cut)[[1, 2, 3]] == stories.linkage(whole, cut)[1], short == short[0])
-
-
 def test_upsert_and_insert_if_absent(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
