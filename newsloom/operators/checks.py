@@ -10,13 +10,6 @@ from pyspark.sql import functions as F
 from newsloom.operators.selection import best_per_key
 
 # Our own word lists for the scores.
-URGENT = ["breaking", "urgent", "crisis", "emergency", "alarming", "chaos"]
-SUPERLATIVES = ["best", "worst", "biggest", "greatest", "deadliest", "largest"]
-HYPERBOLE = ["shocking", "devastating", "explosive", "stunning", "outrageous", "catastrophic"]
-ATTACKS = ["radical agenda", "enemy of the people", "destroying our", "hoax", "sham"]
-MEASURED = ["according to", "officials said", "data show", "estimated", "researchers"]
-ACRONYMS = ["USA", "NATO", "FBI", "CIA", "GDP", "NASA", "WHO"]
-BAIT = {"you won't believe": 20.0, "what happened next": 15.0, "here's why": 8.0, "the truth about": 10.0}
 
 
 def any_of(phrases: list[str], whole: bool = True) -> str:
@@ -25,41 +18,6 @@ def any_of(phrases: list[str], whole: bool = True) -> str:
     return rf"\b({inner})\b" if whole else f"({inner})"
 
 
-def blank_split(text: Column) -> Column:
-    """The number of runs without blanks."""
-    return F.regexp_count(text, F.lit(r"[^ \t\n\r]+"))
-
-
-def headline_score(title: Column) -> Column:
-    """0 to 100: bait phrases, exclamation marks, loud words, superlatives, urgency, and titles of under five words."""
-    low, n = F.lower(title), blank_split(title)
-    bait = sum((F.when(F.contains(low, F.lit(p)), w).otherwise(0.0) for p, w in BAIT.items()), F.lit(0.0))
-    marks = F.least(F.regexp_count(title, F.lit("!")) * 5.0, F.lit(15.0)) + F.regexp_count(title, F.lit(r"[!?]{2,}")) * 5.0
-    loud = F.regexp_count(title, F.lit(r"(^|[ \t])[A-Z]{3,}")) - F.regexp_count(title, F.lit(r"(^|[ \t])(" + "|".join(ACRONYMS) + r")\b"))
-    words = F.regexp_count(low, F.lit(any_of(SUPERLATIVES))) * 3.0 + F.regexp_count(low, F.lit(any_of(HYPERBOLE))) * 2.0 + _present(low, URGENT) * 2.0
-    score = bait + marks + F.when(n > 0, F.greatest(loud, F.lit(0)) / n * 20.0).otherwise(0.0) + words + F.when(n.between(1, 4), 3.0).otherwise(0.0)
-    return F.when(n > 0, F.least(F.lit(100.0), score)).otherwise(0.0)
-
-
-def body_score(text: Column) -> Column:
-    """0 to 100: urgency, superlatives, hyperbole, exclamation marks and attacks for each hundred words, short sentences, less
-    measured phrases. Polarity and subjectivity need a model and take no part."""
-    low, n = F.lower(text), blank_split(text)
-    per = F.greatest(n / 100, F.lit(1.0))
-    dense = lambda phrases, weight, most, whole=True: F.least(F.regexp_count(low, F.lit(any_of(phrases, whole))) / per * weight, F.lit(most))
-    sentences = F.regexp_count(text, F.lit(r"[^.!?]*[^.!? \t\n\r][^.!?]*"))
-    short = F.regexp_count(text, F.lit(r"(^|[.!?])[ \t\n\r]*([^.!? \t\n\r]+[ \t\n\r]*){1,6}(?=[.!?]|$)"))
-    punchy = F.when(sentences > 0, F.least(short / sentences, F.lit(1.0))).otherwise(0.0)
-    score = dense(URGENT, 8.0, 20.0, False) + dense(SUPERLATIVES, 5.0, 20.0) + dense(HYPERBOLE, 5.0, 15.0) + F.least(F.regexp_count(text, F.lit("!")) / per * 5.0, F.lit(15.0))
-    score = score + F.when(punchy > 0.3, (punchy - 0.3) * 40.0).otherwise(0.0) + F.least(F.least(F.regexp_count(low, F.lit(any_of(ATTACKS, False))) / per * 8.0, F.lit(15.0)) * 2.0, F.lit(30.0))
-    score = score - dense(MEASURED, 4.0, 20.0, False)
-    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).otherwise(0.0)
-
-
-def _present(low: Column, phrases: list[str]) -> Column:
-    return sum((F.contains(low, F.lit(p)).cast("int") for p in phrases), F.lit(0))
-
-
 #: Marks of text that was scraped, not written.
 _RAW = [r"(?i)continue reading", r"(?i)read more", r"(?i)sign up for", r"\[[+&]", r"\.\.\.$", r"(?i)^(photo|image|credit):", r"<[a-z/]"]
 

@@ -42,7 +42,7 @@ def _tiered(spark, d):
     return S.articles(spark, d).withColumn("tier", tier)
 
 
-_BAIT = " + ".join(f"CASE WHEN regexp_matches(lower(t), '{_quoted(p)}') THEN {w}e0 ELSE 0e0 END" for p, w in A.BAIT)
+_BAIT = " + ".join(f"CASE WHEN regexp_matches(lower(t), '{_quoted(p)}') THEN {A.BAIT_POINTS}e0 ELSE 0e0 END" for p in A.BAIT)
 _LOUD = _n(r"(' ' || regexp_replace(t, '[ \t\n\r]+', '  ', 'g') || ' ')", " [A-Z]{3,}[!?.,:;]* ")
 
 
@@ -56,9 +56,9 @@ counted AS (SELECT *, {_words('t')} AS nt, {_words('b')} AS nb, greatest({_words
   list_filter(list_transform(regexp_extract_all(b, '[^.!?]+'), lambda s: {_words('s')}), lambda k: k > 0) AS sentences FROM texts),
 ratio AS (SELECT *, CASE WHEN len(sentences) > 0 THEN len(list_filter(sentences, lambda k: k <= 6)) / len(sentences) ELSE 0e0 END AS short FROM counted),
 heads AS (SELECT *, CASE WHEN nt > 0 THEN least(100e0, {_BAIT} + least(15e0, {_n('t', '!')} * 5e0) + {_n('t', '[!?]{2,}')} * 5e0 + {_LOUD} / greatest(nt, 1) * 20e0
-    + {_found('t', A.SUPERLATIVE)} * 3e0 + {_found('t', A.URGENT)} * 2e0 + {_found('t', A.HYPERBOLE)} * 2e0 + CASE WHEN nt < 5 THEN 3e0 ELSE 0e0 END) ELSE 0e0 END AS head,
-  CASE WHEN nb > 0 THEN greatest(0e0, least(100e0, {_part(A.URGENT, 8, 20)} + {_part(A.SUPERLATIVE, 5, 20)} + {_part(A.HYPERBOLE, 5, 15)} + least(15e0, {_n('b', '!')} / hundreds * 5e0)
-    + CASE WHEN short > 0.3e0 THEN (short - 0.3e0) * 40e0 ELSE 0e0 END + {_part(A.ATTACK, 8, 15)} * 2e0 - {_part(A.MEASURED, 4, 20)})) ELSE 0e0 END AS tail FROM ratio),
+    + {_found('t', A.LISTS["strong"])} * 3e0 + {_found('t', A.LISTS["urgent"])} * 2e0 + {_found('t', A.LISTS["degree"])} * 2e0 + CASE WHEN nt < 5 THEN 3e0 ELSE 0e0 END) ELSE 0e0 END AS head,
+  CASE WHEN nb > 0 THEN greatest(0e0, least(100e0, {_part(A.LISTS["urgent"], 8, 20)} + {_part(A.LISTS["strong"], 5, 20)} + {_part(A.LISTS["degree"], 5, 15)} + least(15e0, {_n('b', '!')} / hundreds * 5e0)
+    + CASE WHEN short > 0.3e0 THEN (short - 0.3e0) * 40e0 ELSE 0e0 END + {_part(A.LISTS["hostile"], 8, 15)} * 2e0 - {_part(A.LISTS["sober"], 4, 20)})) ELSE 0e0 END AS tail FROM ratio),
 knee AS (SELECT *, greatest(3e0, least(100e0, CASE WHEN 0.5e0 * head + 0.5e0 * tail <= 22 THEN (0.5e0 * head + 0.5e0 * tail) * (50e0 / 22e0)
     ELSE 50e0 + (0.5e0 * head + 0.5e0 * tail - 22e0) * (50e0 / 78e0) END)) AS raw, least(1e0, nb / 500e0) AS weight FROM heads)
 SELECT article_id, round(head, 4) AS headline, round(tail, 4) AS body,
@@ -70,17 +70,17 @@ def sensationalism_scores(spark, d):
     return A.sensationalism(_tiered(spark, d))
 
 
-_MARKED = "CASE " + " ".join(f"WHEN {_found('t', terms)} > 0 THEN {w}e0" for terms, w in A.MARKED) + " ELSE 0e0 END"
+_MARKED = "CASE " + " ".join(f"WHEN {_found('t', terms)} > 0 THEN {w}e0" for terms, w in A.HEADED) + " ELSE 0e0 END"
 
 
 @query(
     f""", {_TEXTS},
-counted AS (SELECT *, {_words('b')} AS nb, greatest({_words('b')} / 100, 1e0) AS hundreds, {_found('b', A.ATTRIBUTING)} AS said, {_MARKED} AS metadata FROM texts),
+counted AS (SELECT *, {_words('b')} AS nb, greatest({_words('b')} / 100, 1e0) AS hundreds, {_found('b', A.LISTS["attribution"])} AS said, {_MARKED} AS metadata FROM texts),
 halves AS (SELECT *, CASE WHEN said / hundreds >= 1 THEN 0.5e0 ELSE 1e0 END AS half FROM counted),
-parts AS (SELECT article_id, tier, nb, metadata, least(100e0, {_found('b', A.PERSONAL)} / greatest(nb, 1) * 2500e0) AS pronoun,
-  least(100e0, {_found('b', A.PRESCRIBING)} / hundreds * 20e0 * half) AS modal, {_part(A.HEDGING, 25, 100)} AS hedging,
+parts AS (SELECT article_id, tier, nb, metadata, least(100e0, {_found('b', A.LISTS["personal"])} / greatest(nb, 1) * 2500e0) AS pronoun,
+  least(100e0, {_found('b', A.LISTS["deontic"])} / hundreds * 20e0 * half) AS modal, {_part(A.LISTS["hedge"], 25, 100)} AS hedging,
   CASE WHEN nb = 0 THEN 50e0 WHEN said = 0 AND nb >= 50 THEN 75e0 ELSE greatest(0e0, least(100e0, 50e0 - said / hundreds * 25e0)) END AS attribution,
-  {_part(A.JUDGING, 50, 100)} AS judgement, least(100e0, {_found('b', A.CERTAIN)} / hundreds * 30e0 * half) AS certain FROM halves),
+  {_part(A.LISTS["attitude"], 50, 100)} AS judgement, least(100e0, {_found('b', A.LISTS["certain"])} / hundreds * 30e0 * half) AS certain FROM halves),
 raws AS (SELECT *, least(1e0, nb / 150e0) AS weight, greatest(0e0, least(100e0, greatest(
     pronoun * 0.12e0 + modal * 0.12e0 + hedging * 0.06e0 + attribution * 0.15e0 + metadata * 0.12e0 + judgement * 0.06e0 + certain * 0.19e0,
     CASE WHEN metadata >= 90 THEN 70e0 WHEN metadata >= 50 THEN 45e0 WHEN metadata >= 30 THEN 35e0 ELSE 0e0 END))) AS raw FROM parts)
@@ -93,19 +93,15 @@ def opinion_scores(spark, d):
     return A.opinion(_tiered(spark, d))
 
 
-def _total(text: str, patterns: list[str]) -> str:
-    return "(" + " + ".join(_n(text, p) for p in patterns) + ")"
-
-
-_NAMED = f"len(list_distinct(regexp_extract_all(both_text, '({A.TITLED})[^\\n]{{0,150}}?{A.SAYING}[^a-z]', 1)))"
+_NAMED = f"len(list_distinct(regexp_extract_all(both_text, '({A.TITLED})[^.\\n]{{0,60}}?{A.SAYING}[^a-z]', 1)))"
 
 
 @query(
     f""", {_TEXTS},
-counted AS (SELECT *, {_words('both_text')} AS n, {_n('both_text', A.TITLED)} AS titled, {_found('both_text', A.VAGUE)} AS vague FROM texts),
-parts AS (SELECT *, least(100e0, {_NAMED} * 20e0) AS named, least(100e0, {_found('both_text', A.CITING)} * 25e0) AS organisation,
-  least(100e0, {_total('lower(both_text)', A.DATA)} / greatest(n / 100, 1e0) * 33e0) AS data, least(100e0, {_total('both_text', A.QUOTES)} / greatest(n / 500, 1e0) * 20e0) AS quotes,
-  CASE WHEN n = 0 THEN 0e0 WHEN titled + vague = 0 THEN 50e0 ELSE titled / (titled + vague) * 100e0 END AS specificity, least(100e0, {_total('lower(both_text)', A.REFERENCES)} * 20e0) AS refs FROM counted),
+counted AS (SELECT *, {_words('both_text')} AS n, {_n('both_text', A.TITLED)} AS titled, {_found('both_text', A.LISTS["vague"])} AS vague FROM texts),
+parts AS (SELECT *, least(100e0, {_NAMED} * 20e0) AS named, least(100e0, {_found('both_text', A.LISTS["citing"])} * 25e0) AS organisation,
+  least(100e0, {_n('lower(both_text)', A.DATA)} / greatest(n / 100, 1e0) * 33e0) AS data, least(100e0, {_n('both_text', A.QUOTES)} / greatest(n / 500, 1e0) * 20e0) AS quotes,
+  CASE WHEN n = 0 THEN 0e0 WHEN titled + vague = 0 THEN 50e0 ELSE titled / (titled + vague) * 100e0 END AS specificity, least(100e0, {_n('lower(both_text)', A.REFERENCES)} * 20e0) AS refs FROM counted),
 raws AS (SELECT *, greatest(greatest(0e0, least(100e0, named * 0.22e0 + organisation * 0.24e0 + data * 0.27e0 + quotes * 0.17e0 + specificity * 0.1e0 + least(refs * 0.05e0, 8e0) - least(15e0, vague * 3e0))),
     CASE WHEN n <= 30 THEN 15e0 WHEN n <= 100 THEN 10e0 WHEN n < 200 THEN 8e0 ELSE 0e0 END) AS raw,
   CASE WHEN n < 100 THEN 0.4e0 WHEN n < 300 THEN 0.2e0 ELSE 0.1e0 END AS share FROM parts)

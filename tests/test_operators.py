@@ -148,14 +148,33 @@ def test_streaming_windows_match_batch(spark, tmp_path):
 
 
 def test_axes_of_single_articles(spark):
-    calm = "Secretary Jane Doe said in a statement that 40 percent of \"the planned budget cuts\" were dropped, according to the study."
-    loud = "SHOCKING chaos! You must act right now! They never listen! I say it is absurd! Insane!"
-    rows = [(1, "Budget cuts dropped after talks in the capital", calm, "us_major"), (2, "You won't believe what happens next!!", loud, None), (3, None, None, "independent"), (4, "", " \n", "us_major")]
+    wire = (
+        "Secretary Jane Doe said in an interview that 40 percent of the planned cuts were dropped. \"We have listened to every town in the valley,\" she told reporters. "
+        "According to census figures, the district lost 3 thousand jobs. Mayor Omar Reyes confirmed the vote. The agency said records show the fund held $12 million."
+    )
+    column = "I must say it is absurd. We should never let this pass. Of course they always knew, and surely we deserve better. It is shameful and foolish, and in my view it must stop."
+    tabloid = "Mayhem! You absolutely must see it! Terrifying! The thugs run! Evil liars! Utterly savage! Run! Now or never!"
+    rows = [
+        (1, "Council drops part of the budget cuts", wire, "us_major"), (2, "Opinion: The council has lost its way", column, "us_major"), (3, "7 TERRIFYING things you will see!! Utterly savage...", tabloid, None),
+        (4, None, None, "independent"), (5, "", " \n", "us_major"), (6, "Budget", wire + " It is believed that some people left. Many people know.", "us_major"),
+    ]
     rows = spark.createDataFrame(rows, "article_id long, title string, body string, tier string")
-    loudness = {r.article_id: r for r in analysis.sensationalism(rows).collect()}
+    loud = {r.article_id: r for r in analysis.sensationalism(rows).collect()}
     views = {r.article_id: r for r in analysis.opinion(rows).collect()}
     rigor = {r.article_id: r for r in analysis.factual_rigor(rows).collect()}
-    assert loudness[2].headline == 34.0 and loudness[2].sensationalism > 60 > 20 > loudness[1].sensationalism
-    assert loudness[3].sensationalism == loudness[4].sensationalism == 5 and rigor[3].rigor == rigor[4].rigor == 10
-    assert rigor[1].named_source == 20 and rigor[1].data == 33 and rigor[1].quotes == 20 and rigor[1].rigor > rigor[2].rigor
-    assert views[2].pronoun > views[1].pronoun == 0 and views[2].opinion > views[1].opinion and views[3].attribution == 50
+    # bands as for news of a wire, a column and a tabloid
+    assert loud[1].sensationalism <= 20 and loud[3].sensationalism >= 65
+    assert views[1].opinion <= 25 and views[2].opinion >= 65
+    assert rigor[1].rigor >= 50 and rigor[2].rigor <= 45 and rigor[3].rigor <= 45
+    assert (rigor[1].named_source, rigor[1].quotes, rigor[1].specificity, views[1].pronoun > 0) == (40.0, 20.0, 100.0, True)
+    assert rigor[6].specificity == 40.0 and rigor[6].rigor < rigor[1].rigor  # two titled persons, three weasel words
+    # the title of the tabloid: number, reader, unfinished; two shouts; two strong words, one of degree; one word in capitals of eight
+    assert loud[3].headline == 3 * 6 + 2 * 5 + 5 + 20 / 8 + 2 * 3 + 2
+    assert loud[4].sensationalism == loud[5].sensationalism == 5 and rigor[4].rigor == rigor[5].rigor == 10 and views[4].attribution == 50
+
+
+def test_axes_take_lists_of_the_caller(spark):
+    rows = spark.createDataFrame([(1, "Neutral words", "zork zork and more", "us_major")], "article_id long, title string, body string, tier string")
+    mine = analysis.LISTS | {"urgent": ["zork"]}
+    assert analysis.sensationalism(rows, mine).first().body - analysis.sensationalism(rows).first().body == 16.0
+
