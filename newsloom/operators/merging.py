@@ -100,3 +100,29 @@ def incoherent_members(members: DataFrame, terms: str, most_stories: int = 5, sh
 def specific_terms(terms: Column, general: list[str], least: int = 4) -> Column:
     """Terms of at least `least` characters that are not general."""
     return F.filter(F.array_distinct(terms), lambda t: (F.length(t) >= least) & ~t.isin(general))
+
+
+def told_again(old: DataFrame, new: DataFrame, terms: str, time: str, share: float = 0.40, hours: int = 48) -> DataFrame:
+    """(story_id, new_id, similarity) of each story of the `old` run that the `new` run tells again: of the new stories (story_id,
+    array of `terms`, `time`) with a Jaccard similarity of at least `share` within `hours`, the most alike, then the one of least id.
+
+    A set-similarity join of two tables: terms are ordered by rarity over both, and two sets of n terms that are alike share one of
+    the first n - ceil(share n) + 1 of each. They meet at such a term and a band of time, so no pair is missed and none is made
+    that shares no rare term. Stories without terms or time take no part; repeated terms count once.
+    """
+    micros = hours * 3_600_000_000
+
+    def run(table: DataFrame, fresh: bool) -> DataFrame:
+        return table.select("story_id", F.array_compact(F.array_distinct(terms)).alias("terms"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.lit(fresh).alias("fresh")).where("at is not null")
+
+    both = run(old, False).unionByName(run(new, True))
+    each = both.select("fresh", "story_id", "at", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    ordered = each.join(each.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("fresh", "story_id", "at", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("s"))
+    reach = F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9).cast("int") + 1
+    keys = ordered.select("fresh", "story_id", "at", F.col("s.term").alias("terms"), F.explode(F.slice("s.term", F.lit(1), reach)).alias("key"), F.floor(F.col("at") / micros).alias("band"))
+    mine = keys.where("not fresh").select("story_id", F.col("at").alias("then"), F.col("terms").alias("mine"), "key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    theirs = keys.where("fresh").select(F.col("story_id").alias("new_id"), "at", "terms", "key", "band")
+    common = F.size(F.array_intersect("mine", "terms"))
+    alike = common / (F.size("mine") + F.size("terms") - common)
+    met = mine.join(theirs, ["key", "band"]).where(F.abs(F.col("at") - F.col("then")) <= micros).select("story_id", "new_id", alike.alias("similarity")).where(F.col("similarity") >= share)
+    return best_per_key(met.distinct(), ["story_id"], [F.desc("similarity"), F.col("new_id")]).select("story_id", "new_id", F.round("similarity", 6).alias("similarity"))
