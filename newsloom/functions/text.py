@@ -33,10 +33,14 @@ def occurrences(text: Column, phrase: str) -> Column:
     return ((F.length(low) - F.length(F.replace(low, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
 
 
-def density(text: Column, phrases: list[str], per: int = 1000) -> Column:
-    """Occurrences of all phrases for each `per` words."""
-    total = sum((occurrences(text, p) for p in phrases), F.lit(0))
-    return F.when(word_count(text) > 0, total * per / word_count(text)).otherwise(0.0)
+def total(low: Column, phrases: list[str]) -> Column:
+    """How often any of the phrases occurs in a lower-cased text: one pass for all of them, so none may overlap another."""
+    return F.regexp_count(low, F.lit("|".join(phrases)))
+
+
+def density(low: Column, n: Column, phrases: list[str], per: int = 1000) -> Column:
+    """Occurrences of all phrases in a lower-cased text for each `per` of its `n` words; give both as columns, not as expressions."""
+    return F.when(n > 0, total(low, phrases) * per / n).otherwise(0.0)
 
 
 def looks_paywalled(text: Column) -> Column:
@@ -51,11 +55,15 @@ def is_garbage(title: Column, body: Column) -> Column:
     return (F.length(t) < 6) | t.rlike(r"^[a-z0-9-]+\.(com|org|net)$") | ((F.length(t) < 15) & (word_count(body) < 80))
 
 
+def caps_count(text: Column) -> Column:
+    """Words between blanks of two or more capitals."""
+    return F.regexp_count(text, F.lit(r"(?<![^ \t\n\r])[A-Z][A-Z]+[!?.,]*(?![^ \t\n\r])"))
+
+
 def caps_share(text: Column) -> Column:
     """Share of words of two or more capitals."""
-    parts = F.filter(F.split(text, r"[ \t\n\r]+"), lambda w: w != "")
-    loud = F.filter(parts, lambda w: w.rlike(r"^[A-Z][A-Z]+[!?.,]*$"))
-    return F.when(F.size(parts) > 0, F.size(loud) / F.size(parts)).otherwise(0.0)
+    n = word_count(text)
+    return F.when(n > 0, caps_count(text) / n).otherwise(0.0)
 
 
 def suffix_stem(word: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import density, hits, occurrences, word_count, words
+from newsloom.functions.text import hits, occurrences, total, word_count, words
 
 
 def lexicon_lean(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -106,4 +106,4 @@ def claims(articles: DataFrame, least: int = 8, most: int = 60) -> DataFrame:
     sentences = F.split(F.regexp_replace("body", r"([.!?])[ \n\t]+", "$1\n"), "\n")
     rows = articles.select("article_id", F.posexplode(sentences).alias("place", "sentence"))
     n = word_count(F.col("sentence"))
-    return rows.where(n.between(least, most) & (F.col("sentence").rlike("[0-9]") | (density(F.col("sentence"), ["said", "according to"]) > 0)))
+    return rows.where(n.between(least, most) & (F.col("sentence").rlike("[0-9]") | (total(F.lower("sentence"), ["said", "according to"]) > 0)))

@@ -470,8 +470,10 @@ def _sql_density(phrases: list[str]) -> str:
   round(CASE WHEN {_COUNT} > 0 THEN len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: regexp_full_match(w, '[A-Z][A-Z]+[!?.,]*'))) / {_COUNT} ELSE 0 END, 6) AS caps FROM documents""")
 def text_densities(spark, d):
     """Hedging, attribution, modality and capitals of every document."""
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", *(F.round(T.density(t, p), 6).alias(n) for n, p in (("hedging", T.HEDGES), ("attribution", T.ATTRIBUTIONS), ("modality", T.MODALS))), F.round(T.caps_share(t), 6).alias("caps"))
+    rows = table(spark, d, "documents").select("doc_id", "text", F.lower("text").alias("low"), T.word_count(F.col("text")).alias("n"))
+    n = F.col("n")
+    parts = (F.round(T.density(F.col("low"), n, p), 6).alias(name) for name, p in (("hedging", T.HEDGES), ("attribution", T.ATTRIBUTIONS), ("modality", T.MODALS)))
+    return rows.select("doc_id", *parts, F.round(F.when(n > 0, T.caps_count(F.col("text")) / n).otherwise(0.0), 6).alias("caps"))
 
 
 _HITS = " + ".join(f"contains(lower(text), '{p}')::INT" for p in T.PAYWALL)
