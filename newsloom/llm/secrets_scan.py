@@ -97,7 +97,8 @@ def find_secrets(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]
 
     Positions are code points, the end exclusive. Kinds: assign, access, hex (fixed patterns), random
     (token-efficiency test under the tiktoken file `path` and its split `pattern`; never within one of the
-    others, but it can reach beyond one). Null and empty texts have no spans. Repeated rows stay, a null doc_id stays null, an empty
+    others, but it can reach beyond one; its candidates are runs of 20 key characters or more without a dot and with at least 3.5 bits of
+    entropy a character, so a run of digits alone is none). Null and empty texts have no spans. Repeated rows stay, a null doc_id stays null, an empty
     table gives an empty result; columns other than doc_id, text and `keep` are dropped.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in keep if c not in ("doc_id", "text")))
