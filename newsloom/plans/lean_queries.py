@@ -1,10 +1,10 @@
-"""Registered queries of the lean of articles: terms are learnt from the outlets' placements, then every whole text is scored."""
+"""Registered queries of lean and framing: terms are learnt from the outlets' placements, then the lean and the framing of every whole text are scored."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import lean
+from newsloom.operators import framing, lean
 from newsloom.plans.queries import query
 from newsloom.plans.story_tables import table
 
@@ -23,7 +23,8 @@ _PATTERN = "(?s)" + lean.QUOTATION.replace("'", "''")
 _STARTS = "list_transform(range(1, len({0})), lambda i: list_sum(list_transform({0}[1:i], lambda p: length(p))) + (i - 1) * length({1}))"
 
 
-@query(rf"""WITH a AS MATERIALIZED (SELECT doc_id AS article_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+#: Lower-case texts, the terms that placed outlets give, and for each article and term its hits and those in reported speech.
+_HITS_SQL = rf"""WITH a AS MATERIALIZED (SELECT doc_id AS article_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
   len(regexp_extract_all(text, '[^ \t\n\r]+')) AS n_words, {_NUMBER} AS k FROM documents),
 placed AS (SELECT CASE WHEN k % 5 * 25 < 45 THEN 'left' WHEN k % 5 * 25 > 55 THEN 'right' END AS side, list_distinct(regexp_extract_all(low, '[a-z]{{3,}}')) AS words FROM a WHERE k % 5 <> 2),
 sizes AS (SELECT count(*) FILTER (WHERE side = 'left') AS n_left, count(*) FILTER (WHERE side = 'right') AS n_right FROM placed),
@@ -42,7 +43,10 @@ verbs AS (SELECT article_id, v, string_split(low, v) AS p FROM a JOIN (SELECT un
 marks AS MATERIALIZED (SELECT article_id, CAST(unnest({_STARTS.format("p", "v")}) AS BIGINT) AS s FROM verbs),
 told AS (SELECT *, EXISTS (SELECT 1 FROM spans WHERE spans.article_id = hits.article_id AND spans.s <= hits.s AND hits.e <= spans.e)
   OR EXISTS (SELECT 1 FROM marks WHERE marks.article_id = hits.article_id AND abs(marks.s - hits.s) <= 120) AS reported FROM hits),
-by_term AS (SELECT article_id, is_left, weight, count(*) AS n, count(*) FILTER (WHERE reported) AS half FROM told JOIN terms USING (term) GROUP BY article_id, term, is_left, weight),
+by_term AS (SELECT article_id, is_left, weight, count(*) AS n, count(*) FILTER (WHERE reported) AS half FROM told JOIN terms USING (term) GROUP BY article_id, term, is_left, weight)"""
+
+
+@query(rf"""{_HITS_SQL},
 by_article AS (SELECT article_id, coalesce(sum(weight * (n - 0.5::DOUBLE * half)) FILTER (WHERE is_left), 0) AS l, coalesce(sum(weight * (n - 0.5::DOUBLE * half)) FILTER (WHERE NOT is_left), 0) AS r,
   count(*) AS n_terms, count(*) FILTER (WHERE n = half) AS n_half FROM by_term GROUP BY article_id),
 s AS (SELECT a.article_id, k, coalesce(n_words, 0) AS n_words, coalesce(l, 0) AS l, coalesce(r, 0) AS r, coalesce(n_terms, 0) AS n_terms, coalesce(n_half, 0) AS n_half FROM a LEFT JOIN by_article USING (article_id)),
@@ -55,3 +59,29 @@ def article_lean(spark, d):
     """Lean of every article by the terms of placed outlets, half weight in reported speech, anchored at its outlet."""
     a = _articles(spark, d)
     return lean.article_lean(a, lean.outlet_terms(a))
+
+
+_SIDES = [" de ", " la ", " the "], [" le ", " of ", " and "]
+_ENTITIES = "[A-Z][a-z]{2,}"
+
+
+@query(rf"""{_HITS_SQL},
+weights AS (SELECT article_id, sum(weight * (n - 0.5::DOUBLE * half)) AS weight FROM by_term GROUP BY 1),
+named AS MATERIALIZED (SELECT doc_id // 8 AS cluster_id, doc_id AS article_id, list_distinct(regexp_extract_all(coalesce(text, ''), '{_ENTITIES}')) AS own FROM documents),
+others AS (SELECT x.article_id, len(x.own) AS n_own, len(list_distinct(flatten(list(y.own)))) AS n_others, len(list_intersect(x.own, list_distinct(flatten(list(y.own))))) AS n_common
+  FROM named x JOIN named y ON x.cluster_id = y.cluster_id AND x.article_id <> y.article_id GROUP BY x.article_id, x.own),
+s AS (SELECT article_id, k, coalesce(n_words, 0) AS n_words, round(least(100, coalesce(weight, 0) / greatest(coalesce(n_words, 0) / 100, 1) * 15), 6) AS emphasis,
+  len(regexp_extract_all(low, '{"|".join(_SIDES[0])}')) AS p, len(regexp_extract_all(low, '{"|".join(_SIDES[1])}')) AS q,
+  CASE WHEN n_own > 0 AND n_others > 0 THEN (1 - n_common / n_others) * 30 ELSE 0 END AS missed FROM a LEFT JOIN weights USING (article_id) LEFT JOIN others USING (article_id)),
+t AS (SELECT *, CASE WHEN p + q = 0 THEN 10 WHEN p = 0 OR q = 0 THEN least(100, (p + q) * 15) ELSE (1 - least(p, q) / greatest(p, q)) * 60 END::DOUBLE AS sourcing FROM s),
+u AS (SELECT *, round(least(100, sourcing + missed), 6) AS omission, least(1, n_words / 500) AS share, CASE k % 3 WHEN 0 THEN 18 WHEN 1 THEN 20 ELSE 25 END AS lowest FROM t),
+v AS (SELECT *, least(100, emphasis * CASE WHEN emphasis > 60 THEN 0.45::DOUBLE ELSE 0.35::DOUBLE END + omission * 0.15::DOUBLE) AS raw FROM u)
+SELECT article_id, emphasis, sourcing, omission, CASE WHEN n_words = 0 THEN 15 ELSE CAST(round_even(round(greatest(raw, share * raw + (1 - share) * lowest), 6), 0) AS INTEGER) END AS framing FROM v""")
+def framing_scores(spark, d):
+    """Framing of every article within its story, eight neighbours each; capitalised words are its entities, the learnt terms its charged ones."""
+    a = _articles(spark, d)
+    tier = F.element_at(F.array(*map(F.lit, framing.FLOORS)), (F.regexp_extract("source", "([0-9]+)", 1).try_cast("long") % 3 + 1).cast("int"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text", tier.alias("tier"))
+    entities = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_ENTITIES), F.lit(0))
+    members = docs.select(F.expr("article_id div 8").alias("cluster_id"), "article_id", entities.alias("entities"))
+    return framing.framing_scores(docs, lean.outlet_terms(a), members, *_SIDES)
