@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import checks, desk, merging
+from newsloom.operators import checks, desk, merging, stories
 from newsloom.plans import story_tables as S
 from newsloom.plans.queries import query
 from newsloom.plans.story_tables import AS_OF, table
@@ -373,3 +373,17 @@ def geographic_impact(spark, d):
     """Weight of the nations that an article names."""
     places = table(spark, d, "nation").select(F.lower("n_name").alias("place"), (F.col("n_nationkey") % 7).alias("weight"))
     return checks.geographic_impact(S.articles(spark, d).select(F.col("article_id").alias("cluster_id"), F.col("body").alias("text")), places, _KEYS)
+
+
+_WIRE_LEAD = "substring(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 800)"
+
+
+@query(f"""WITH a AS (SELECT doc_id AS article_id, source AS slug, CASE WHEN source IN ('src3', 'src7') THEN 'wire' ELSE 'national' END AS tier, -(doc_id % 50) AS published_at, {_WIRE_LEAD} AS lead FROM documents),
+k AS (SELECT *, sha1(lead) AS wire_group, row_number() OVER (PARTITION BY lead ORDER BY tier = 'wire' DESC, slug IN ('src5') DESC, published_at, article_id) AS r, count(*) OVER (PARTITION BY lead) AS n,
+  first_value(slug) OVER (PARTITION BY lead ORDER BY tier = 'wire' DESC, slug IN ('src5') DESC, published_at, article_id) AS origin FROM a WHERE length(lead) >= 80 AND regexp_matches(lead, '[a-z0-9]{{2}}'))
+SELECT a.article_id, CASE WHEN n > 1 THEN wire_group END AS wire_group, CASE WHEN n > 1 THEN origin END AS origin_source, coalesce(n > 1 AND r > 1, false) AS is_copy FROM a LEFT JOIN k USING (article_id)""")
+def wire_tags(spark, d):
+    """Every document with its syndication group, the outlet that it comes from, and whether it is a copy."""
+    tier = F.when(F.col("source").isin("src3", "src7"), "wire").otherwise("national")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.col("text").alias("body"), F.col("source").alias("slug"), tier.alias("tier"), (-(F.col("doc_id") % 50)).alias("published_at"))
+    return stories.wire_tags(rows, ["wire", "wire-service"], ["src5"])
