@@ -297,9 +297,8 @@ def score_signals(spark, d):
     return out.select("cluster_id", *(F.round(c, 6).alias(c) for c in ("perspective", "divergence", "factual")))
 
 
-@query("SELECT 1", "members")
-def headline_rank(spark, d):
-    """The combined rank of every cluster (signals that need entity recognition are 0)."""
+def rank_signals(spark, d):
+    """The signals of every cluster that need no words: those of sources, times and scores, with the mean sensationalism and confidence."""
     m = S.members(spark, d)
     parts = [source_signals(spark, d), time_signals(spark, d), score_signals(spark, d)]
     sens = m.groupBy("cluster_id").agg(F.avg("sensationalism").alias("avg_sensationalism"))
@@ -307,8 +306,14 @@ def headline_rank(spark, d):
     joined = parts[0]
     for p in (*parts[1:], sens, trust):
         joined = joined.join(p, "cluster_id")
+    return joined.withColumn("soft", F.col("cluster_id") % 5 == 0)
+
+
+@query("SELECT 1", "members")
+def headline_rank(spark, d):
+    """The combined rank of every cluster (signals that need entity recognition are 0)."""
     zero = F.lit(0.0)
-    return ranking.rank_clusters(joined.withColumns({"consequentiality": zero, "authority": zero, "geographic": zero, "soft": F.col("cluster_id") % 5 == 0}))
+    return ranking.rank_clusters(rank_signals(spark, d).withColumns({"consequentiality": zero, "authority": zero, "geographic": zero}))
 
 
 ORACLE_SQL["headline_rank"] = with_tables("", "members", "sources") + f""", a AS ({_SOURCES_SQL}), b AS ({_TIMES_SQL}), c AS ({_SCORES_SQL}),

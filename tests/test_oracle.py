@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from newsloom.plans import analysis_queries, archive_queries, claim_queries, cluster_queries, desk_queries, lean_queries, memory_queries, nested_queries, stem_queries  # noqa: F401
+from newsloom.plans import analysis_queries, archive_queries, claim_queries, cluster_queries, desk_queries, lean_queries, memory_queries, nested_queries, signal_queries, stem_queries  # noqa: F401
 from newsloom.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
