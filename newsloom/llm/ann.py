@@ -2,8 +2,10 @@
 
 A vector is coded as a sum of one full-dimensional codeword from each codebook. Codebooks come from
 residual k-means on a bounded sample, refined by least squares over all of them; the encoder searches
-with a beam. A query scores codes by adding up entries of its lookup table, times the vector's stored
-norm over its code's norm; the best codes of all blocks are reranked with the original vectors.
+with a beam. Directions are coded, norms are stored beside the codes, with the length of what a code misses of its
+direction. A query scores codes by adding up entries of its lookup table. The best codes of a block are scored with
+the original vectors; by the worst of the nearest among them and by what the codes miss, no other row can be nearer
+than those whose upper bound reaches it, and these are scored too. So no row is lost, however the vectors lie.
 
 Equal vectors are one entry of the index with their least ids: of ids tied in score only as many as
 are asked for can be in a result.
@@ -26,11 +28,13 @@ SAMPLE = 16_384
 CODEBOOKS, WORDS, BEAM, ROUNDS = 20, 256, 4, 6
 #: How often the codebooks are refitted to the codes that the beam finds, and the rounds over all codebooks in each.
 REFITS, SWEEPS = 2, 6
-#: Codes of a query kept for exact reranking.
-RERANK = 256
+#: Codes of a query and a block that are scored exactly first; the bound that these give decides on the others.
+RERANK = 64
 #: Index blocks whose best codes of a query are merged in one step.
 FAN_IN = 32
 QUERY_BLOCK, INDEX_BLOCK = 256, 8192
+#: Components of the vectors of an index block, at most.
+BLOCK_SIZE = 1 << 20
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -127,50 +131,70 @@ def fit(sample: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, seed
     return books
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1 and the lengths of `x`; scaled first, so that no square overflows or vanishes."""
+    most = np.abs(x).max(1, keepdims=True)
+    unit = x / most
+    norm = np.linalg.norm(unit, axis=1, keepdims=True)
+    return unit / norm, (most * norm)[:, 0]
+
+
+def _vectors(rows: pa.Array, n: int) -> np.ndarray:
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
+
+
 def _encode(books):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Codebooks = books.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            codes = model.encode(x)
-            norm, own = np.linalg.norm(x, axis=1), np.linalg.norm(model.decode(codes).astype(np.float64), axis=1)
-            scale = np.divide(norm, own, out=np.ones_like(norm), where=own > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale.astype(np.float32))], ["cid", "codes", "scale"])
+            unit, _ = directions(_vectors(batch.column("embedding"), batch.num_rows))
+            codes = model.encode(unit)
+            decoded = model.decode(codes).astype(np.float64)
+            square = (decoded * decoded).sum(1)
+            scale = np.divide((unit * decoded).sum(1), square, out=np.zeros_like(square), where=square > 0).astype(np.float32)
+            miss = np.linalg.norm(unit - scale[:, None] * decoded, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(miss)], ["cid", "embedding", "codes", "scale", "miss"])
 
     return run
 
 
-def _search(books, keep: int):
-    """Of each pair of a query block and an index block, the best codes of each query."""
+def _search(books, first: int, k: int):
+    """Of each pair of a query block and an index block, the `k` nearest entries of each query with their exact scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Codebooks = books.value
+        # what sums of single-precision products can be off, for a query of length 1
+        rounding = (model.d + model.m) * 2.0**-22 * np.sqrt(model.squares.max(1).astype(np.float64)).sum()
         for batch in batches:
             for row in range(batch.num_rows):
                 queries, index = batch.column("queries")[row].values, batch.column("entries")[row].values
-                vectors = queries.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(queries), -1)
+                asked, x = _vectors(queries.field("embedding"), len(queries)), _vectors(index.field("embedding"), len(index))
                 codes = np.frombuffer(b"".join(index.field("codes").to_pylist()), np.uint8).reshape(len(index), -1)
-                cids = index.field("cid").to_numpy(zero_copy_only=False)
-                scores = model.score(vectors, codes, index.field("scale").to_numpy(zero_copy_only=False))
-                most = min(keep, len(cids))
-                best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-                found = pa.StructArray.from_arrays([pa.array(np.take_along_axis(scores, best, 1).ravel()), pa.array(cids[best].ravel())], ["estimate", "cid"])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(queries) + 1) * most, pa.int32()), found)
+                cids, scale, miss = (index.field(c).to_numpy(zero_copy_only=False) for c in ("cid", "scale", "miss"))
+                (_, norm), (unit, length) = directions(x), directions(asked)
+                near = model.score(unit, codes, scale).astype(np.float64)
+                slack = miss + rounding * np.abs(scale) + 1e-12
+                most, kept = min(max(first, k), len(cids)), min(k, len(cids))
+                scores, found = np.empty((len(queries), kept)), np.empty((len(queries), kept), np.int64)
+                for q in range(len(queries)):
+                    some = np.argpartition(-near[q] * norm, most - 1)[:most]
+                    least = np.partition(np.einsum("ij,j->i", x[some], asked[q]), most - kept)[most - kept]
+                    # negated, so that a bound that is not a number keeps its row
+                    some = np.flatnonzero(~((near[q] + slack) * norm < least / length[q]))
+                    exact = np.einsum("ij,j->i", x[some], asked[q])
+                    best = np.lexsort((cids[some], -exact))[:kept]
+                    scores[q], found[q] = exact[best], cids[some][best]
+                # the score negated, so that the ascending order is nearest first, then the smaller id
+                pairs = pa.StructArray.from_arrays([pa.array(-scores.ravel()), pa.array(found.ravel())], ["far", "cid"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(queries) + 1) * kept, pa.int32()), pairs)
                 block = pa.array(np.full(len(queries), batch.column("block")[row].as_py()), pa.int64())
                 yield pa.RecordBatch.from_arrays([queries.field("cid"), block, lists], ["qcid", "block", "found"])
 
     return run
 
 
-def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64) for c in ("query", "embedding"))
-            yield pa.RecordBatch.from_arrays([batch.column("qcid"), batch.column("cid"), pa.array(np.einsum("ij,ij->i", a, b))], ["qcid", "cid", "score"])
-
-
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the vectors that take part: with an id, of the most frequent length, without null or
     non-finite components, not all zero; of rows that repeat an id, the one with the least vector."""
@@ -191,7 +215,8 @@ def nearest_by_inner_product(vectors: DataFrame, every: int = 20, k: int = 20, r
     Ties go to the smaller vec_id; with fewer than `k` candidates all are returned. See valid_vectors for rows
     that take no part. No valid vector, or no query: no rows. Further columns are ignored. Codebooks are
     fitted to at most `sample` rows (16,384 x dimensions x 4 bytes on the driver); every row is indexed, and
-    each query is scored against every code by its table: work grows with queries x rows.
+    each query is scored against every code by its table: work grows with queries x rows. `rerank` codes of a
+    query and a block are scored exactly first; it affects the time, not the result.
     """
     spark = vectors.sparkSession
     rows = materialise(valid_vectors(vectors), "vectors")
@@ -203,11 +228,12 @@ def nearest_by_inner_product(vectors: DataFrame, every: int = 20, k: int = 20, r
     chosen = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("embedding").toPandas()["embedding"] if n else []
     if not len(chosen):
         return spark.createDataFrame([], out)
-    books = spark.sparkContext.broadcast(fit(np.stack(list(chosen))))
+    books = spark.sparkContext.broadcast(fit(directions(np.stack(list(chosen)).astype(np.float64))[0]))
 
-    codes = classes.select("cid", "embedding").mapInArrow(_encode(books), "cid long, codes binary, scale float")
-    blocks = -(-n // INDEX_BLOCK)
-    index = codes.groupBy(F.pmod(F.xxhash64("cid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("cid", "codes", "scale")).alias("entries"))
+    kind = classes.schema["embedding"].dataType.simpleString()
+    codes = classes.select("cid", "embedding").mapInArrow(_encode(books), f"cid long, embedding {kind}, codes binary, scale float, miss double")
+    blocks = -(-n // max(1, min(INDEX_BLOCK, BLOCK_SIZE // len(chosen[0]))))
+    index = codes.groupBy(F.pmod(F.xxhash64("cid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("cid", "embedding", "codes", "scale", "miss")).alias("entries"))
     asking = rows.where(F.col("vec_id") % every == 0)
     of_class = materialise(asking.join(classes.select("embedding", "cid"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qcid")), "queries")
     distinct = materialise(of_class.select(F.col("qcid").alias("cid")).distinct().join(classes.select("cid", "embedding"), "cid"), "distinct")
@@ -215,17 +241,13 @@ def nearest_by_inner_product(vectors: DataFrame, every: int = 20, k: int = 20, r
     queries = distinct.groupBy(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("cid", "embedding")).alias("queries"))
     # the stated queries against all rows: each block of queries goes to each block of the index
     sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    best = sent.join(index, "block").select("queries", "entries", "block").mapInArrow(_search(books, rerank), "qcid long, block long, found array<struct<estimate: float, cid: long>>")
+    best = sent.join(index, "block").select("queries", "entries", "block").mapInArrow(_search(books, rerank, k + 1), "qcid long, block long, found array<struct<far: double, cid: long>>")
     # merged in levels, so that no row holds the finds of more than FAN_IN blocks
     while blocks:
         blocks = -(-blocks // FAN_IN) if blocks > FAN_IN else 0
         step = F.floor(F.col("block") / FAN_IN) if blocks else F.lit(0)
-        best = best.groupBy("qcid", step.alias("block")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("found")), asc=False), 1, rerank).alias("found"))
-    pairs = best.select("qcid", F.explode("found.cid").alias("cid"))
-    scored = pairs.join(classes.select("cid", "embedding"), "cid").join(distinct.select(F.col("cid").alias("qcid"), F.col("embedding").alias("query")), "qcid")
-    scored = scored.mapInArrow(_rerank, "qcid long, cid long, score double")
-    first = Window.partitionBy("qcid").orderBy(F.desc("score"), "cid")
-    top = scored.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1).drop("place")
+        best = best.groupBy("qcid", step.alias("block")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
+    top = best.select("qcid", F.explode("found").alias("near")).select("qcid", F.col("near.cid").alias("cid"), (-F.col("near.far")).alias("score"))
     each = top.join(classes.select("cid", "members"), "cid").select("qcid", "score", F.explode("members").alias("vec_id"))
     nearest = Window.partitionBy("qcid").orderBy(F.desc("score"), "vec_id")
     each = each.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k + 1)

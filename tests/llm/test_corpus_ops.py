@@ -210,6 +210,22 @@ def test_recall_on_the_embeddings_table(spark, monkeypatch):
     assert len(ids) > 1000 and hits / (20 * (ids % 20 == 0).sum()) >= 0.95
 
 
+@pytest.mark.parametrize("shape", ["near copies", "norms"])
+def test_nearest_of_other_shapes(spark, monkeypatch, shape):
+    monkeypatch.setattr(ann, "INDEX_BLOCK", 1000)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 64))
+    if shape == "near copies":
+        x = x[np.arange(3000) % 2] + 1e-4 * x
+    else:
+        x *= np.exp(3 * rng.normal(size=(3000, 1))) * 1e3
+    found = ann.nearest_by_inner_product(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), rerank=20).toPandas()
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        best = [k for k in np.lexsort((np.arange(3000), -s)) if k != q][:20]
+        assert found[found["query_id"] == q].sort_values("rank")["vec_id"].to_list() == best
+
+
 def test_few_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in ann.nearest_by_inner_product(rows).orderBy("rank").collect()] == [(1, 0.5), (2, 0.5)]
