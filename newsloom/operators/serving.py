@@ -34,8 +34,8 @@ def priorities(clusters: DataFrame, most: int = 25) -> DataFrame:
 
 
 def rank_labels(signals: DataFrame, weights: dict[str, float], most: int = 3, least: float = 50.0) -> DataFrame:
-    """(cluster_id, labels): up to three signals of at least `least`, by weight x value."""
-    each = F.array_compact(F.array(*(F.when(F.col(n) >= least, F.struct((-F.col(n) * w).alias("order"), F.lit(n).alias("name"))) for n, w in weights.items())))
+    """(cluster_id, labels): up to `most` signals of at least `least`, by weight x value, equal ones by the smaller value, then by name."""
+    each = F.array_compact(F.array(*(F.when(F.col(n) >= least, F.struct((-F.col(n) * w).alias("order"), F.col(n).alias("value"), F.lit(n).alias("name"))) for n, w in weights.items())))
     return signals.select("cluster_id", F.array_join(F.transform(F.slice(F.array_sort(each), 1, most), lambda s: s["name"]), ",").alias("labels"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.operators import analysis, clustering, joins, selection, state, stories
+from newsloom.operators import analysis, clustering, joins, selection, serving, state, stories
 from newsloom.operators.graph import connected_components
 from newsloom.shared import replace_table
 from newsloom.sources.readers import feed_entries, nested_events, outlets, parse_time, write_latest
@@ -178,3 +178,9 @@ def test_axes_take_lists_of_the_caller(spark):
     mine = analysis.LISTS | {"urgent": ["zork"]}
     assert analysis.sensationalism(rows, mine).first().body - analysis.sensationalism(rows).first().body == 16.0
 
+
+
+def test_labels_of_equal_weight_go_by_the_smaller_value(spark):
+    rows = spark.createDataFrame([(1, 80.0, 70.0), (2, 90.0, 70.0), (3, 39.0, 70.0)], "cluster_id int, divergence double, factual double")
+    got = {r.cluster_id: r.labels for r in serving.rank_labels(rows, {"divergence": 0.07, "factual": 0.08}, 2, 40.0).collect()}
+    assert 80.0 * 0.07 == 70.0 * 0.08 and got == {1: "factual,divergence", 2: "divergence,factual", 3: "factual"}
