@@ -32,11 +32,12 @@ def articles_in_first_cluster(links: DataFrame, articles: DataFrame) -> DataFram
     return links.groupBy("article_id").agg(F.min("cluster_id").alias("cluster_id")).join(articles, "article_id", "left")
 
 
-def rerank_gather(clusters: DataFrame, links: DataFrame, articles: DataFrame, as_of: str, hours: int = 48) -> DataFrame:
-    """Articles of the last `hours` with the clusters that they belong to."""
+def rerank_gather(clusters: DataFrame, links: DataFrame | None, articles: DataFrame, as_of: str, hours: int = 48) -> DataFrame:
+    """Articles of the last `hours` with the clusters that they belong to, by `links` or, without these, by their own cluster_id."""
     now = F.lit(as_of).cast("timestamp_ntz")
     fresh = articles.where((F.col("published_at") >= now - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("published_at") <= now))
-    return fresh.join(links, "article_id").join(clusters, "cluster_id")
+    linked = fresh if links is None else fresh.join(links, "article_id")
+    return linked.join(clusters, "cluster_id")
 
 
 def category_junction(items: DataFrame, key: str, labels: str, categories: DataFrame) -> DataFrame:

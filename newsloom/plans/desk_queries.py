@@ -62,8 +62,8 @@ def members_by_cluster(spark, d):
   WHERE published_at BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 4800 HOURS AND TIMESTAMP '{AS_OF}' GROUP BY category""", "members", "clusters")
 def rerank_gather(spark, d):
     """Articles of the last 200 days with their clusters, by category."""
-    m = S.members(spark, d)
-    rows = desk.rerank_gather(S.clusters(spark, d), m.select("article_id", "cluster_id").distinct(), m.drop("cluster_id"), AS_OF, 4800)
+    # members name their cluster; their article_id repeats beyond 99,999 parts, so links by it would multiply them
+    rows = desk.rerank_gather(S.clusters(spark, d), None, S.members(spark, d), AS_OF, 4800)
     return rows.groupBy("category").agg(F.count("*").alias("articles"), F.countDistinct("cluster_id").alias("clusters"), F.sum("lean").alias("lean"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 from newsloom.operators import analysis, clustering, joins, selection, serving, state, stories
 from newsloom.operators.graph import connected_components
+from newsloom.plans import desk_queries
 from newsloom.shared import replace_table
 from newsloom.sources.readers import feed_entries, nested_events, outlets, parse_time, write_latest
 from newsloom.streaming import stories as stream
@@ -184,3 +185,18 @@ def test_labels_of_equal_weight_go_by_the_smaller_value(spark):
     rows = spark.createDataFrame([(1, 80.0, 70.0), (2, 90.0, 70.0), (3, 39.0, 70.0)], "cluster_id int, divergence double, factual double")
     got = {r.cluster_id: r.labels for r in serving.rank_labels(rows, {"divergence": 0.07, "factual": 0.08}, 2, 40.0).collect()}
     assert 80.0 * 0.07 == 70.0 * 0.08 and got == {1: "factual,divergence", 2: "divergence,factual", 3: "factual"}
+
+
+def test_gathered_members_count_once_where_article_ids_meet(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    # part 100,000 + p of an order has the article_id of part p of the next order
+    row = spark.read.parquet(f"{sf}/lineitem.parquet").join(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    row = row.withColumn("l_shipdate", F.lit("2001-11-01").cast(row.schema["l_shipdate"].dataType)).withColumn("l_linenumber", F.lit(1).cast(row.schema["l_linenumber"].dataType))
+    keys = [r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").orderBy("o_orderkey").collect()]
+    low = next(k for k in keys if k + 1 in set(keys))
+    key, part = row.schema["l_orderkey"].dataType, row.schema["l_partkey"].dataType
+    one = row.limit(1)
+    two = one.withColumns({"l_orderkey": F.lit(low).cast(key), "l_partkey": F.lit(100_007).cast(part)}).unionByName(one.withColumns({"l_orderkey": F.lit(low + 1).cast(key), "l_partkey": F.lit(7).cast(part)}))
+    two.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sum(r.articles for r in desk_queries.rerank_gather(spark, str(tmp_path)).collect()) == 2
