@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.functions.text import words
-from newsloom.operators.clustering import prefix_pairs
+from newsloom.operators.clustering import pairs_by_prefix
 from newsloom.operators.graph import connected_components
 from newsloom.shared import materialise
 
@@ -39,13 +40,16 @@ def claim_groups(claims: DataFrame, stopwords: list[str] = ()) -> DataFrame:
     same = ["cluster_id", "topic", "tokens"]
     nodes = materialise(rows.groupBy(*same).agg(F.min("claim_id").alias("node"), F.count("*").alias("copies"), F.min("source_id").alias("first"), F.max("source_id").alias("last")), "claim-nodes")
     sizes = nodes.groupBy("cluster_id").agg(F.sum("copies").alias("n"))
-    bags = nodes.select("cluster_id", "node", "copies", F.explode("tokens").alias("term")).groupBy("cluster_id", "node", "copies", "term").agg(F.count("*").alias("tf"))
-    idf = bags.groupBy("cluster_id", "term").agg(F.sum("copies").alias("df")).join(sizes, "cluster_id").select("cluster_id", "term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = bags.join(idf, ["cluster_id", "term"]).select("node", F.struct("cluster_id", "term").alias("term"), (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("node").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = raw.join(norm, "node").select(F.col("node").alias("article_id"), "term", (F.col("w") / F.col("norm")).alias("weight"))
+    tf = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda u: u == t)).alias("tf")))
+    bags = nodes.select("cluster_id", "node", "copies", F.explode(tf).alias("bag")).join(sizes, "cluster_id")
+    # the terms of all claims are shuffled twice: by term for its frequencies, by node for the length and the order
+    term, node = Window.partitionBy("cluster_id", "bag.term"), Window.partitionBy("node")
+    idf = F.ln((1 + F.col("n")) / (1 + F.sum("copies").over(term))) + 1
+    raw = bags.select("node", "cluster_id", F.col("bag.term").alias("term"), (F.col("bag.tf") * idf).alias("w"), F.count("*").over(term).alias("df"))
+    square, order = F.col("w") * F.col("w"), node.orderBy(F.desc("df"), F.desc("term"))
+    whole = raw.select(F.col("node").alias("article_id"), F.struct("cluster_id", "term").alias("term"), "df", (F.col("w") / F.sqrt(F.sum(square).over(node))).alias("weight"), (F.sum(square).over(order) / F.sum(square).over(node)).alias("rest"))
     ends = nodes.select(F.col("node").alias("article_id"), "topic", "first", "last")
-    pairs = prefix_pairs(weights, ALIKE_ON_ENTITY).join(ends, "article_id").join(ends.select(*(F.col(c).alias("other_id" if c == "article_id" else f"other_{c}") for c in ends.columns)), "other_id")
+    pairs = pairs_by_prefix(materialise(whole, "claim-terms"), ALIKE_ON_ENTITY).join(ends, "article_id").join(ends.select(*(F.col(c).alias("other_id" if c == "article_id" else f"other_{c}") for c in ends.columns)), "other_id")
     linked = pairs.where((F.least("first", "other_first") != F.greatest("last", "other_last")) & ((F.col("cosine") >= ALIKE) | ((F.col("topic") == F.col("other_topic")) & (F.col("topic") != ""))))
     found = connected_components(linked.select(F.col("article_id").alias("src"), F.col("other_id").alias("dst")))
     named = nodes.where(F.size("tokens") > 0).join(found, "node", "left").select(*same, F.coalesce("component", F.when(F.col("first") != F.col("last"), F.col("node"))).alias("group_id"))

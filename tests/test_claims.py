@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 from newsloom.operators import claims as C
+from newsloom.operators import clustering
 
 SCHEMA = "cluster_id int, claim_id int, source_id string, entity string, text string"
 
@@ -75,3 +76,17 @@ def test_groups_and_status_as_with_all_pairs(spark):
 
 def test_no_claims(spark):
     assert C.verified_groups(C.claim_groups(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_pairs_of_stored_vectors(spark):
+    vectors = {1: {"a": 0.6, "b": 0.8}, 2: {"a": 0.6, "b": 0.8}, 3: {"a": 1.0}, 4: {"b": 0.6, "c": 0.8}}
+    df = {"a": 3, "b": 3, "c": 1}
+    rows = []
+    for k, v in vectors.items():
+        rest = 0.0
+        for t in sorted(v, key=lambda t: (df[t], t), reverse=True):
+            rest += v[t] ** 2
+            rows.append((k, t, v[t], df[t], rest))
+    found = clustering.pairs_by_prefix(spark.createDataFrame(rows, "article_id int, term string, weight double, df int, rest double"), 0.3)
+    want = {(a, b): round(sum(vectors[a][t] * vectors[b].get(t, 0) for t in vectors[a]), 9) for a in vectors for b in vectors if a < b}
+    assert {(r.article_id, r.other_id): r.cosine for r in found.collect()} == {k: v for k, v in want.items() if v >= 0.3}
