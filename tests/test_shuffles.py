@@ -13,3 +13,10 @@ def test_stale_pairs_are_counted_where_they_are_made(spark):
     got = joins.stale_clusters(old, new, 0.3)
     assert {tuple(r) for r in got.select("cluster_id", "new_id", "common", "size").collect()} == {(1, 7, 2, 4), (2, 9, 1, 1)}
     assert not any("hashpartitioning(cluster_id" in line and "new_id" in line.split("hashpartitioning", 1)[1].split(")")[0] for line in plan(got).splitlines())
+
+
+def test_bias_summary_shuffles_scores_not_sums(spark):
+    rows = spark.createDataFrame([(1, 10, 20, 30, 40, 50, 0.5, False), (1, 20, 20, 30, 40, 50, None, True)], "cluster_id long, lean int, sensationalism int, opinion int, rigor int, framing int, confidence double, lean_unscored boolean")
+    found = enrichment.bias_summary(rows)
+    text = plan(found)
+    assert [r.avg_lean for r in found.collect()] == [10.0] and text.index("HashAggregate") < text.index("Exchange") and "Aggregate" not in text[text.index("Exchange") :]
