@@ -18,18 +18,22 @@ WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 MOST = 50
 
 
-def positional_index(stories: DataFrame, key: str, fields: list[tuple[str, str]], stopwords: list[str] = ()) -> DataFrame:
+def positional_index(stories: DataFrame, key: str, fields: list[tuple[str, str]], stopwords: list[str] = (), only: DataFrame | None = None) -> DataFrame:
     """(term, `key`, place, weight): every word of the `fields` (column, label A to D) as its Porter stem.
 
     Places run on from field to field from 0, and stop words keep theirs. Null and empty fields have no words. Write the result
     as a table where it is searched often. Every distinct word is stemmed once; the stems are written, as a filter on a stem would
-    be pushed through all steps of the stemmer.
+    be pushed through all steps of the stemmer. With `only` (term) the index holds these terms: for searches known beforehand. The words
+    of the terms then go to all tasks and places are found where texts are read; no frequent word is sorted.
     """
     def labelled(column: str, label: str) -> Column:
         return F.transform(words(F.coalesce(F.col(column), F.lit(""))), lambda w: F.struct(w.alias("word"), F.lit(WEIGHTS[label]).alias("weight")))
 
     spots = stories.select(key, F.posexplode(F.concat(*(labelled(*f) for f in fields))).alias("place", "w")).select(key, "place", "w.word", "w.weight").where(~F.col("word").isin(list(stopwords)))
-    return spots.join(materialise(porter(spots.select("word").distinct(), "word", "term"), "archive-stems"), "word").select("term", key, "place", "weight")
+    stems = materialise(porter(spots.select("word").distinct(), "word", "term"), "archive-stems")
+    if only is not None:
+        stems = F.broadcast(materialise(stems.join(only.select("term").distinct(), "term", "left_semi"), "archive-searched"))
+    return spots.join(stems, "word").select("term", key, "place", "weight")
 
 
 def web_query(text: str) -> list[list[tuple[bool, list[str]]]]:

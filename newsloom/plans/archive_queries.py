@@ -51,5 +51,5 @@ def archive_covers(spark, d):
     as_of = "2001-11-05"
     printed = docs.select(F.col("doc_id").alias("story_id"), (F.col("doc_id") % 150).alias("thread"), F.date_sub(F.lit(as_of).cast("date"), (F.col("doc_id") % 200).cast("int")).alias("day"), F.col("lang").alias("category"), (F.col("n_chars") % 80).alias("source_count"))
     texts = docs.select(F.col("doc_id").alias("story_id"), F.split("text", "\n", 2)[0].alias("title"), F.col("text").alias("summary"))
-    index = archive.positional_index(texts, "story_id", [("title", "A"), ("summary", "B")])
+    index = archive.positional_index(texts, "story_id", [("title", "A"), ("summary", "B")], only=archive.query_terms(spark, _SEARCHES))
     return archive.search_printed(printed, index, _SEARCHES, as_of, limit=50)

@@ -69,3 +69,12 @@ def test_search_collapses_filters_and_stems(spark):
 def test_empty(spark):
     index = archive.positional_index(spark.createDataFrame([], "story_id long, title string"), "story_id", [("title", "A")])
     assert archive.search_printed(spark.createDataFrame([], PRINTED), index, {1: "a"}, "2001-11-05").count() == 0
+
+
+def test_index_of_searched_terms_only(spark):
+    texts = spark.createDataFrame([(1, "Running home", "the runs of the cats"), (2, "a cat", "nothing else")], "story_id long, title string, summary string")
+    fields = [("title", "A"), ("summary", "B")]
+    terms = archive.query_terms(spark, {1: "runs -cat"})
+    whole = archive.positional_index(texts, "story_id", fields)
+    some = archive.positional_index(texts, "story_id", fields, only=terms)
+    assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in whole.collect() if r.term in ("run", "cat")) and whole.count() > some.count() > 0
