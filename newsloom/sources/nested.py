@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.operators.selection import best_per_key
+from newsloom.shared import materialise
 
 _PARENT = {"title": "string", "era": "string", "region": "string", "category": "string", "date_sort": "int", "date_start": "string", "display_order": "int"}
 _VIEW = {"viewpoint": "string", "viewpoint_type": "string", "region_origin": "string", "narrative": "string"}
@@ -21,10 +22,10 @@ def latest_documents(lines: DataFrame, text: str, order: list[Column]) -> DataFr
     """(slug, doc): the first document of each slug by `order`, ties to the greater text, as a variant.
 
     Texts that are null, no JSON, or without a slug are left out. A later document takes the place of an earlier one with all its
-    children. Keys that no table names stay in `doc`, and numbers stay whole or fractions as they were written.
+    children. Keys that no table names stay in `doc`, and numbers stay whole or fractions as they were written. Only texts are shuffled.
     """
-    docs = lines.withColumn("doc", F.try_parse_json(text)).withColumn("slug", _get("doc", "slug", "string")).where("slug IS NOT NULL")
-    return best_per_key(docs, ["slug"], [*order, F.desc(text)]).select("slug", "doc")
+    docs = lines.withColumn("slug", _get(F.try_parse_json(text), "slug", "string")).where("slug IS NOT NULL")
+    return best_per_key(docs, ["slug"], [*order, F.desc(text)]).select("slug", F.parse_json(text).alias("doc"))
 
 
 def children(docs: DataFrame, name: str) -> DataFrame:
@@ -83,13 +84,16 @@ def assembled(tables: dict[str, DataFrame]) -> DataFrame:
 def in_order(events: DataFrame, by: str | None = None, keys: tuple[str, ...] = ("date_sort",)) -> DataFrame:
     """`events` with `place` from 1 by `keys`, nulls last, then slug, within each value of `by` (era, region) if that is given.
 
-    Without `by` the places come from counts of the earlier groups of equal first keys, so no task holds all events.
+    The events are dealt by ranges of that order, written, and counted within their range after what the earlier ranges hold: no
+    task holds all events of a value.
     """
     order = [F.asc_nulls_last(k) for k in keys] + [F.col("slug")]
-    if by is not None:
-        return events.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    first = keys[0]
-    counts = events.groupBy(first).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy(F.asc_nulls_last(first))) - F.col("n")).drop("n").withColumnRenamed(first, "first_key")
-    ranked = events.withColumn("within", F.row_number().over(Window.partitionBy(first).orderBy(*order)))
-    return ranked.join(before, F.col(first).eqNullSafe(F.col("first_key"))).withColumn("place", (F.col("before") + F.col("within")).cast("int")).drop("first_key", "before", "within")
+    first = [] if by is None else [by]
+    dealt = materialise(events.repartitionByRange(*(F.asc_nulls_last(c) for c in first), *order).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("part", *first).agg(F.count("*").alias("n"))  # a row for each range and value
+    earlier = counts.withColumn("earlier", F.sum("n").over(Window.partitionBy(*first).orderBy("part")) - F.col("n")).select(F.col("part").alias("in_part"), *(F.col(c).alias(f"in_{c}") for c in first), "earlier")
+    ranked = dealt.withColumn("within", F.row_number().over(Window.partitionBy("part", *first).orderBy(*order)))
+    same = F.col("part") == F.col("in_part")
+    for c in first:
+        same = same & F.col(c).eqNullSafe(F.col(f"in_{c}"))
+    return ranked.join(F.broadcast(earlier), same).withColumn("place", (F.col("earlier") + F.col("within")).cast("int")).select(*events.columns, "place")

@@ -43,3 +43,19 @@ def test_order_by_year_and_by_two_keys(spark):
 def test_empty(spark):
     t = tables(spark)
     assert nested.assembled(t).count() == nested.in_order(t["events"].drop("doc")).count() == 0
+
+
+def test_places_by_value_come_from_many_tasks(spark, monkeypatch):
+    kept = []
+    materialise = nested.materialise
+    monkeypatch.setattr(nested, "materialise", lambda df, label: kept.append(materialise(df, label)) or kept[-1])
+    rows = spark.range(5000).select(F.concat(F.lit("e"), F.col("id")).alias("slug"), F.when(F.col("id") % 10 == 0, "b").when(F.col("id") % 10 < 9, "a").alias("region"), (F.col("id") % 7).cast("int").alias("date_sort"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.slug: r.place for r in nested.in_order(rows, "region").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert kept[0].select("part").distinct().count() > 1
+    for region in ("a", "b", None):
+        mine = sorted((k % 7, f"e{k}") for k in range(5000) if ("b" if k % 10 == 0 else "a" if k % 10 < 9 else None) == region)
+        assert [got[s] for _, s in mine] == list(range(1, len(mine) + 1))
