@@ -104,7 +104,7 @@ def geographic_impact(texts: DataFrame, places: DataFrame, keywords: list[str])
 
     `texts` (cluster_id, text), `places` (place, weight), single words in lower case; each place counts once a cluster.
     """
-    words = texts.select("cluster_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("place")).distinct()
+    words = texts.select("cluster_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("place")).join(F.broadcast(places.select("place").distinct()), "place", "left_semi").distinct()
     named = words.join(F.broadcast(places), "place").groupBy("cluster_id").agg(F.sum("weight").alias("weight"))
     low = F.lower("text")
     key = texts.groupBy("cluster_id").agg(*(F.max(F.contains(low, F.lit(k)).cast("int")).alias(f"k{i}") for i, k in enumerate(keywords)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The score limits of the seven lean buckets.
@@ -84,10 +84,14 @@ def consensus_points(summary: DataFrame) -> DataFrame:
     return summary.select("cluster_id", F.array_join(agree, ",").alias("consensus"), F.array_join(differ, ",").alias("divergence"))
 
 
+def lower_quartile_of(value: str) -> Column:
+    """The element at place floor(n / 4) of the sorted values of a group, as an aggregate; null without any."""
+    return F.get(F.sort_array(F.collect_list(value)), F.floor(F.count(value) / 4).cast("int"))
+
+
 def lower_quartile(values: DataFrame, key: str, value: str) -> DataFrame:
     """The element at place floor(n / 4) of each key's sorted values (a discrete lower quartile)."""
-    ordered = F.sort_array(F.collect_list(value))
-    return values.where(F.col(value).isNotNull()).groupBy(key).agg(F.get(ordered, F.floor(F.count("*") / 4).cast("int")).alias("quartile"))
+    return values.where(F.col(value).isNotNull()).groupBy(key).agg(lower_quartile_of(value).alias("quartile"))
 
 
 def global_idf(terms: DataFrame, total: int, key: str, term: str) -> DataFrame:

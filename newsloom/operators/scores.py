@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.functions.text import hits, occurrences, total, word_count, words
 
@@ -79,21 +80,54 @@ def event_signals(members: DataFrame, verbs: list[str], weighty: list[str], hedg
     """
     from newsloom.operators.selection import best_per_key
 
-    top = best_per_key(members, ["cluster_id"], [F.col("article_id")], first)
-    title = F.lower(F.coalesce("title", F.lit("")))
+    facts = members.select("cluster_id", "article_id", *_event_facts(F.col("title"), verbs, weighty, hedged, tier1, tier2))
+    by = best_per_key(facts, ["cluster_id"], [F.col("article_id")], first).groupBy("cluster_id").agg(*_event_sums(F.lit(True)))
+    return by.select("cluster_id", *_event_scores())
+
+
+def title_facts(title: Column, verbs: list[str], weighty: list[str], hedged: list[str], tier1: list[str], tier2: list[str], places: list[str], keywords: list[str]) -> Column:
+    """What `title_signals` needs of a title, as a struct: where many articles have one title, get it before they are joined."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    named = F.filter(F.array(*map(F.lit, places)), lambda p: F.array_contains(F.split(low, "[^a-z]+"), p))
+    held = F.array(*(F.contains(low, F.lit(k)).cast("int") for k in keywords))
+    return F.struct(*_event_facts(title, verbs, weighty, hedged, tier1, tier2), named.alias("places"), held.alias("keys"))
+
+
+def title_signals(members: DataFrame, places: dict[str, int], keywords: list[str], first: int = 10) -> DataFrame:
+    """`event_signals` of the first ten titles and, as geographic, `checks.geographic_impact` of all titles, with the short lists of `title_facts`.
+
+    `members` (cluster_id, article_id, facts; null facts for no title). Facts of titles, not titles, are dealt by cluster, once for both.
+    """
+    placed = members.select("cluster_id", "article_id", "facts.*").withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy("article_id")))
+    keys = [F.coalesce(F.max(F.get("keys", F.lit(i))), F.lit(0)).alias(f"k{i}") for i in range(len(keywords))]
+    by = placed.groupBy("cluster_id").agg(*_event_sums(F.col("place") <= first), F.array_distinct(F.flatten(F.collect_list(F.when(F.size("places") > 0, F.col("places"))))).alias("places"), *keys)
+    weight = sum((F.when(F.array_contains("places", p), w).otherwise(0) for p, w in places.items()), F.lit(0))
+    impact = F.least(weight * 10.0, F.lit(60.0)) + F.least(sum((F.col(f"k{i}") for i in range(len(keywords))), F.lit(0)) * 5.0, F.lit(40.0))
+    return by.select("cluster_id", *_event_scores(), impact.alias("geographic"))
+
+
+def _event_facts(title: Column, verbs: list[str], weighty: list[str], hedged: list[str], tier1: list[str], tier2: list[str]) -> list[Column]:
+    """What `_event_sums` needs of a title: the distinct verbs, and numbers."""
+    title = F.lower(F.coalesce(title, F.lit("")))
     tokens = words(title)
     seen = lambda terms: F.filter(F.array(*map(F.lit, terms)), lambda t: F.array_contains(tokens, t))
     count = lambda terms: sum((F.size(tokens) - F.size(F.array_remove(tokens, t)) for t in terms), F.lit(0))
-    by = top.groupBy("cluster_id").agg(
-        F.array_distinct(F.flatten(F.collect_list(seen(verbs)))).alias("verbs"), F.sum(count(verbs)).alias("n"), F.max(hits(title, weighty)).alias("weighty"), F.max(hits(title, hedged)).alias("hedged"),
-        F.sum(F.size(seen(tier1))).alias("t1"), F.sum(F.size(seen(tier2))).alias("t2"),
-    )
+    return [seen(verbs).alias("verbs"), count(verbs).alias("n"), hits(title, weighty).alias("weighty"), hits(title, hedged).alias("hedged"), F.size(seen(tier1)).alias("t1"), F.size(seen(tier2)).alias("t2")]
+
+
+def _event_sums(inside: Column) -> list[Column]:
+    given = lambda name: F.when(inside, F.col(name))
+    verbs = F.array_distinct(F.flatten(F.collect_list(F.when(inside & (F.size("verbs") > 0), F.col("verbs")))))
+    return [verbs.alias("verbs"), *(F.coalesce(F.sum(given(c)), F.lit(0)).alias(c) for c in ("n", "t1", "t2")), *(F.max(given(c)).alias(c) for c in ("weighty", "hedged"))]
+
+
+def _event_scores() -> list[Column]:
     raw = 0.6 * F.least(F.lit(100.0), F.size("verbs") * 20.0) + 0.4 * F.least(F.lit(100.0), F.col("n") * 5.0)
     raw = F.when(F.col("weighty") > 0, F.greatest(raw, F.lit(70.0))).otherwise(raw)
     one = F.when(F.col("t1") > 0, F.least(F.lit(100.0), 80 + (F.col("t1") - 1) * 10.0)).otherwise(0.0)
     two = F.when(F.col("t2") > 0, F.least(F.lit(70.0), 40 + (F.col("t2") - 1) * 10.0)).otherwise(0.0)
     both = F.when((one > 0) & (two > 0), F.least(F.lit(100.0), one + two * 0.2)).otherwise(F.greatest(one, two))
-    return by.select("cluster_id", F.round(F.when(F.col("hedged") > 0, raw * 0.7).otherwise(raw), 4).alias("consequentiality"), F.round(both, 4).alias("authority"))
+    return [F.round(F.when(F.col("hedged") > 0, raw * 0.7).otherwise(raw), 4).alias("consequentiality"), F.round(both, 4).alias("authority")]
 
 
 def newsworthiness(title: Column, body: Column, weights: dict[str, int], markers: list[str]) -> Column:

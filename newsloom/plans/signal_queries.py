@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.operators import checks, feed, ranking, scores, serving, state
+from newsloom.operators import feed, ranking, scores, serving, state
 from newsloom.plans import story_tables as S
 from newsloom.plans.queries import _SCORES_SQL, ORACLE_SQL, _count_sql, _hits_sql, query, rank_signals, score_signals
 
@@ -16,12 +16,11 @@ _PLACES, _KEYS = {"red": 2, "blue": 3}, ["cold", "new"]
 @query("SELECT 1")
 def importance_rank(spark, d):
     """The rank of every cluster from all eleven signals; titles of its articles are the names of their parts."""
-    part = S.table(spark, d, "part").select(F.col("p_partkey").alias("topic_id"), F.col("p_name").alias("title"))
-    titled = S.members(spark, d).join(part, "topic_id", "left").select("cluster_id", "article_id", "title")
-    events = scores.event_signals(titled, _VERBS, [_WEIGHTY], [_HEDGED], _FIRST, _SECOND)
-    places = spark.createDataFrame(list(_PLACES.items()), "place string, weight int")
-    geo = checks.geographic_impact(titled.select("cluster_id", F.coalesce("title", F.lit("")).alias("text")), places, _KEYS).withColumnRenamed("impact", "geographic")
-    return ranking.rank_clusters(rank_signals(spark, d).join(events, "cluster_id").join(geo, "cluster_id"))
+    facts = scores.title_facts(F.col("p_name"), _VERBS, [_WEIGHTY], [_HEDGED], _FIRST, _SECOND, list(_PLACES), _KEYS)
+    part = S.table(spark, d, "part").select(F.col("p_partkey").alias("topic_id"), facts.alias("facts"))
+    told = S.members(spark, d).join(part, "topic_id", "left").select("cluster_id", "article_id", "facts")
+    words = scores.title_signals(told, _PLACES, _KEYS)
+    return ranking.rank_clusters(rank_signals(spark, d).join(words, "cluster_id"))
 
 
 _HAS = lambda w: f"max(list_contains(string_split(lower(title), ' '), '{w}')::INT)"
