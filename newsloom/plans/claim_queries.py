@@ -17,7 +17,8 @@ def _groups(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", _CUT)).alias("place", "text"))
     said = rows.where(F.size(F.filter(words(F.col("text")), lambda w: F.length(w) >= 2)) >= 5).select(
         F.expr("doc_id div 8").alias("cluster_id"), (F.col("doc_id") * 100000 + F.col("place")).alias("claim_id"), F.col("source").alias("source_id"), F.regexp_extract("text", "[A-Z][a-z]{3,}", 0).alias("entity"), "text")
-    return claims.verified_groups(materialise(claims.claim_groups(said), "claim-groups"))
+    grouped = claims.claim_groups(said).withColumn("text", F.when(~F.col("alone"), F.col("text")))  # a claim of its own conflicts with none
+    return claims.verified_groups(materialise(grouped.drop("entity"), "claim-groups"))
 
 
 #: All pairs of a story's claims, links closed by recursion, conflicts by all pairs of a group.

@@ -90,3 +90,21 @@ def test_pairs_of_stored_vectors(spark):
     found = clustering.pairs_by_prefix(spark.createDataFrame(rows, "article_id int, term string, weight double, df int, rest double"), 0.3)
     want = {(a, b): round(sum(vectors[a][t] * vectors[b].get(t, 0) for t in vectors[a]), 9) for a in vectors for b in vectors if a < b}
     assert {(r.article_id, r.other_id): r.cosine for r in found.collect()} == {k: v for k, v in want.items() if v >= 0.3}
+
+
+def test_stories_by_joins_and_in_tasks_give_the_same_groups(spark):
+    rng = random.Random(13)
+    pool = ["mayor", "budget", "approved", "rose", "bridge", "100", "council", "river", "!", "a"]
+    rows = [(k % 4, k, rng.choice("ABC"), rng.choice(["Mayor", "mayor ", "", None]), " ".join(rng.choice(pool) for _ in range(rng.randrange(0, 6)))) for k in range(160)]
+    rows += [(4, 900 + k, "AB"[k % 2], "", "the bridge") for k in range(300)] + [(None, 300, "A", "", "bridge"), (2, 301, None, "", "bridge"), (2, 302, "A", "", None), (5, 303, "A", "", "")]
+    claims = spark.createDataFrame(rows, SCHEMA)
+    groups = lambda large: {r.claim_id: r.group_id for r in C.claim_groups(claims, large=large).collect()}
+    assert groups(C.LARGE) == groups(4000) == groups(0) and len(groups(0)) == len(rows)
+    counts = Counter(groups(C.LARGE).values())
+    assert {r.claim_id: r.alone for r in C.claim_groups(claims).collect()} == {k: counts[g] == 1 for k, g in groups(C.LARGE).items()}
+
+
+def test_claims_are_shuffled_once(spark):
+    claims = spark.createDataFrame([(1, k, "AB"[k % 2], "", "bridge closed over the river") for k in range(6)], SCHEMA).repartition(2)
+    plan = C.claim_groups(claims)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "Join" not in plan.replace("BroadcastHashJoin", "")
