@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +35,22 @@ def children(docs: DataFrame, name: str) -> DataFrame:
     return docs.select("slug", F.posexplode(_get("doc", name, "array<variant>")).alias("place", "item"))
 
 
+def _fields(v: str | Column, kinds: dict[str, str]) -> list[Column]:
+    return [_get(v, c, k).alias(c) for c, k in kinds.items()]
+
+
+def _view(item: str | Column, place: Column) -> list[Column]:
+    """The columns of a perspective that stands at `place`."""
+    return [*_fields(item, _VIEW), F.coalesce(_get(item, "display_order", "int"), place).alias("display_order"), _get(item, "key_arguments", "array<string>").alias("key_arguments")]
+
+
+def _medium(item: str | Column, place: Column) -> list[Column]:
+    """The columns of a medium that stands at `place`."""
+    url = F.coalesce(_get(item, "supabase_url", "string"), _get(item, "source_url", "string")).alias("source_url")
+    licence = F.coalesce(_get(item, "license", "string"), F.lit("public-domain")).alias("license")
+    return [*_fields(item, _MEDIUM), url, licence, F.coalesce(_get(item, "display_order", "int"), place).alias("display_order")]
+
+
 def event_tables(docs: DataFrame) -> dict[str, DataFrame]:
     """Tables of documents (slug unique, doc): events, perspectives, media, metrics, connections.
 
@@ -40,17 +58,13 @@ def event_tables(docs: DataFrame) -> dict[str, DataFrame]:
     that they give, else as they are written. Each pair of events is connected once a kind, by the first such entry; targets that no
     document describes are left out. A metric keeps its value as a variant and also as a number.
     """
-    fields = lambda v, kinds: [_get(v, c, k).alias(c) for c, k in kinds.items()]
-    placed = F.coalesce(_get("item", "display_order", "int"), F.col("place")).alias("display_order")
     published = F.coalesce(_get("doc", "is_published", "boolean"), F.lit(True)).alias("is_published")
-    url = F.coalesce(_get("item", "supabase_url", "string"), _get("item", "source_url", "string")).alias("source_url")
-    licence = F.coalesce(_get("item", "license", "string"), F.lit("public-domain")).alias("license")
     edges = children(docs, "connections").select(F.col("slug").alias("src"), "place", _get("item", "target_slug", "string").alias("dst"), _get("item", "connection_type", "string").alias("kind"), _get("item", "description", "string").alias("description"))
     known = edges.join(docs.select(F.col("slug").alias("dst")), "dst", "left_semi")
     return {
-        "events": docs.select("slug", *fields("doc", _PARENT), published, "doc"),
-        "perspectives": children(docs, "perspectives").select("slug", "place", *fields("item", _VIEW), placed, _get("item", "key_arguments", "array<string>").alias("key_arguments")),
-        "media": children(docs, "media").select("slug", "place", *fields("item", _MEDIUM), url, licence, placed),
+        "events": docs.select("slug", *_fields("doc", _PARENT), published, "doc"),
+        "perspectives": children(docs, "perspectives").select("slug", "place", *_view("item", F.col("place"))),
+        "media": children(docs, "media").select("slug", "place", *_medium("item", F.col("place"))),
         "metrics": children(docs, "metrics").select("slug", "place", _get("item", "name", "string").alias("name"), _get("item", "value", "variant").alias("value"), _get("item", "value", "double").alias("number")),
         "connections": best_per_key(known.withColumnRenamed("place", "entry"), ["src", "dst", "kind"], [F.col("entry")]).select("src", "dst", "kind", "description"),
     }
@@ -81,6 +95,33 @@ def assembled(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def with_children(docs: DataFrame) -> DataFrame:
+    """Every document's event with its arrays `perspectives` and `media` in display order, as `assembled` has them: made in its row, so nothing is shuffled."""
+
+    def ordered(name: str, columns: Callable[[Column, Column], list[Column]]) -> Column:
+        placed = F.transform(_get("doc", name, "array<variant>"), lambda v, k: F.struct(F.coalesce(_get(v, "display_order", "int"), k).alias("display_order"), k.alias("place"), F.struct(*columns(v, k)).alias("row")))
+        return F.coalesce(F.transform(F.sort_array(placed), lambda s: s["row"]), F.array()).alias(name)
+
+    events = event_tables(docs)["events"]
+    return events.select("*", ordered("perspectives", _view), ordered("media", _medium))
+
+
+def connections_of(docs: DataFrame) -> DataFrame:
+    """(slug, connections) of the events that have some, as `assembled` has them: own ones before reverse ones, each with the other event's title.
+
+    Repeated entries are dropped in their document, and an edge meets its target and the target's title in one join.
+    """
+    entries = F.transform(_get("doc", "connections", "array<variant>"), lambda v: F.struct(_get(v, "target_slug", "string").alias("dst"), _get(v, "connection_type", "string").alias("kind"), _get(v, "description", "string").alias("description")))
+    titled = docs.select("slug", _get("doc", "title", "string").alias("title"), entries.alias("entries"))
+    keys = F.transform("entries", lambda e: F.struct(e["dst"], e["kind"]))
+    first = F.filter("entries", lambda e, k: e["dst"].isNotNull() & (F.array_position("keys", F.struct(e["dst"], e["kind"])) == k + 1))
+    edges = titled.withColumn("keys", keys).select(F.col("slug").alias("src"), F.col("title").alias("src_title"), F.explode(first).alias("e")).select("src", "src_title", "e.*")
+    both = edges.join(titled.select(F.col("slug").alias("dst"), F.col("title").alias("dst_title")), "dst")
+    end = lambda a, b, back: F.struct(F.col(a).alias("slug"), F.lit(back).alias("reverse"), F.col(b).alias("other"), "kind", "description", F.col(f"{b}_title").alias("other_title"))
+    ends = both.select(F.explode(F.array(end("src", "dst", False), end("dst", "src", True))).alias("c"))
+    return ends.groupBy(F.col("c.slug").alias("slug")).agg(F.transform(F.sort_array(F.collect_list("c")), lambda c: c.dropFields("slug")).alias("connections"))
+
+
 def in_order(events: DataFrame, by: str | None = None, keys: tuple[str, ...] = ("date_sort",)) -> DataFrame:
     """`events` with `place` from 1 by `keys`, nulls last, then slug, within each value of `by` (era, region) if that is given.
 

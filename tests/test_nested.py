@@ -59,3 +59,20 @@ def test_places_by_value_come_from_many_tasks(spark, monkeypatch):
     for region in ("a", "b", None):
         mine = sorted((k % 7, f"e{k}") for k in range(5000) if ("b" if k % 10 == 0 else "a" if k % 10 < 9 else None) == region)
         assert [got[s] for _, s in mine] == list(range(1, len(mine) + 1))
+
+
+def test_events_made_in_their_row_are_those_of_the_tables(spark):
+    odd = {"slug": "d", "title": "D", "connections": [{"target_slug": "a"}, {"target_slug": "a"}, {"target_slug": "d", "connection_type": "self"}, {"connection_type": "k"}, 5, {"target_slug": "a", "connection_type": "k"}],
+           "perspectives": [{"viewpoint": "x", "display_order": 2}, 7, {"viewpoint": "y", "display_order": 1}, {"viewpoint": "z", "display_order": 1}]}
+    docs = nested.latest_documents(spark.createDataFrame([(1, json.dumps(x)) for x in (A, B, C, odd)], "version int, line string"), "line", [F.desc("version")]).cache()
+    children = nested.with_children(docs).where("is_published")
+    got = {r.slug: r for r in children.join(nested.connections_of(docs), "slug", "left").collect()}
+    want = {r.slug: r for r in nested.assembled(nested.event_tables(docs)).collect()}
+    pick = lambda rows, keys: [tuple(r[k] for k in keys) for r in rows or []]
+    for slug, r in want.items():
+        for name in ("perspectives", "media", "connections"):
+            keys = r[name][0].asDict() if r[name] else ()
+            assert pick(got[slug][name], keys) == pick(r[name], keys), (slug, name)
+    assert set(got) == set(want) == {"a", "c", "d"} and len(want["d"].connections) == 4
+    plan = nested.with_children(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
